@@ -10,7 +10,7 @@ from .shared import SPACE
 BUCKETS = 1 << 15
 #: Micronats a n-gram: texts below are rejected. Fixed, so a verdict depends on the
 #: text and on the corpus counts alone.
-THRESHOLD = -0.35
+THRESHOLD = -0.08
 #: At most so many trusted documents are counted for the target multinomial.
 TRUSTED_ROWS = 20_000
 
