@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import SPACE
+from .shared import SPACE, cut
 
 BUCKETS = 1 << 15
 #: Micronats a n-gram: texts below are rejected. Fixed, so a verdict depends on the
@@ -20,11 +20,11 @@ def words_of(text: Column) -> Column:
 
 
 def _buckets(words: str, size: str, buckets: int) -> Column:
-    """For each word: the bucket of the word and of the pair with the word before."""
+    """The buckets of each word, then of each word with the one before it."""
     return F.expr(
-        f"if({size} = 0, cast(array() as array<array<int>>), transform(sequence(0, {size} - 1), i -> array("
-        f"cast(pmod(xxhash64({words}[i]), {buckets}) as int), "
-        f"cast(pmod(xxhash64(coalesce(get({words}, i - 1), '<s>'), {words}[i]), {buckets}) as int))))"
+        f"if({size} = 0, cast(array() as array<int>), concat("
+        f"transform({words}, x -> cast(pmod(xxhash64(x), {buckets}) as int)), "
+        f"transform(sequence(0, {size} - 1), i -> cast(pmod(xxhash64(coalesce(get({words}, i - 1), '<s>'), {words}[i]), {buckets}) as int))))"
     )
 
 
@@ -34,8 +34,8 @@ def ratios(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text
     broadcast. n-grams are combined into ``buckets`` counts before the shuffle."""
     flagged = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(trusted_ids.select("id", F.lit(1).alias("t")).distinct()), "id", "left")
     words = flagged.select(F.coalesce("t", F.lit(0)).alias("t"), words_of(F.col("text")).alias("w")).select("t", "w", F.size("w").alias("n"))
-    grams = words.select("t", F.explode(F.flatten(_buckets("w", "n", buckets))).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("r"), F.sum(F.col("t").cast("long")).alias("t"))
+    grams = words.select("t", F.explode(_buckets("w", "n", buckets)).alias("bucket"))
+    counts = cut(grams.groupBy("bucket").agg(F.count("*").alias("r"), F.sum("t").alias("t")), "ngram-counts")
     spark = docs.sparkSession
     full = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select("bucket", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("t", F.lit(0)).alias("t"))
     total = full.agg(F.sum("r").alias("rs"), F.sum("t").alias("ts"))
@@ -88,6 +88,6 @@ def quality(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", tex
     weights = F.split(F.lit(",".join(str(r.weight) for r in table)), ",").cast("array<int>")  # folded to one literal
     a = base_features(docs, id_col, text_col).select("*", F.size("w").alias("n"))
     a = a.select("*", _buckets("w", "n", buckets).alias("g"))
-    score = F.aggregate("g", F.lit(0).cast("long"), lambda acc, b: acc + F.get(weights, F.get(b, 0)) + F.get(weights, F.get(b, 1)))
+    score = F.aggregate("g", F.lit(0).cast("long"), lambda acc, b: acc + F.get(weights, b))
     a = a.select("*", F.when(F.col("n") > 0, score / (F.col("n") * 2e6)).otherwise(0.0).alias("llr"))
     return a.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"), F.round("llr", 6).alias("llr"))
