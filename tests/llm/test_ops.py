@@ -1,0 +1,200 @@
+"""Training-data operators against brute force, on nulls, ties, long and odd texts."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from millrace.llm import chat, exact, gsaca, html_text, mixing, pieces, quality, repeats, secrets, simhash, toxicity
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    base = " ".join(rng.choice(words) for _ in range(120))
+    texts = [None, "", " ", "one", "a  b", "a b", "a\tb", base, base, base.replace("w1 ", "zz ", 1), "x " + base[40:], "é" * 150 + base[:260], "ab" * 300]
+    texts += [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 90))) for _ in range(25)]
+    rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(None, base, "clash"), (3, "one", "clash")]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, kept string").repartition(3).cache()
+
+
+def data(docs):
+    return [(r.doc_id, r.text or "") for r in docs.collect()]
+
+
+def test_secrets(docs):
+    assert secrets.find_spans("token=token:abcdefgh") == []
+    text = "PassWord: 'abcdef1' AKIA" + "B2" * 8 + " " + "0f" * 12
+    assert [(k, text[a:b]) for a, k, b in secrets.find_spans(text)] == [(0, "PassWord: 'abcdef1"), (1, "AKIA" + "B2" * 8), (2, "0f" * 12)]
+    s = "q8Zt1LmX0vB7nR4cKd9WjY2h"
+    assert [k for _, k, _ in secrets.find_spans(f"key {s} end")] == [3]
+    assert secrets.find_spans("0123456789abcdefABCDEFGHIJ /usr/local/share/doc/readme_file_name") == []
+    rng = random.Random(1)
+    for _ in range(50):
+        x, w = "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 60))), rng.randrange(1, 25)
+        m = min(w, len(x))
+        ent = lambda y: -sum(y.count(c) / m * np.log2(y.count(c) / m) for c in set(y))
+        assert abs(secrets.max_window_entropy(x, w) - max(ent(x[i : i + m]) for i in range(len(x) - m + 1))) < 1e-9
+    assert secrets.scan(docs).count() == docs.count() and secrets.scan(docs.limit(0)).count() == 0
+
+
+def test_simhash(spark, docs):
+    def brute(t):
+        w = [x for x in re.split(r"[ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if x]
+        sh = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or ([" ".join(w)] if w else [])
+        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    rows = data(docs)
+    fps = [brute(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if (fps[i] ^ fps[j]).bit_count() <= 4:
+                    root[i] = min(root[i], root[j])
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root[i]] = min(least.get(root[i], d), d)
+    want = sorted((str(d), fps[i], least.get(root[i])) for i, (d, _) in enumerate(rows))
+    got = sorted((str(r.doc_id), r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs).collect())
+    assert got == want
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_simhash_dense_cells_keep_all_links(spark):
+    rng = random.Random(2)
+    fps, x = set(), 0
+    for _ in range(400):  # a chain, each within a few bits of the one before
+        for b in rng.sample(range(64), 3):
+            x ^= 1 << b
+        fps.add(x)
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp bigint")
+    for block in (16, 8192):
+        found = simhash.links(df, small=4, block=block).collect()
+        assert all((r.a ^ r.b).bit_count() <= 4 if r.a ^ r.b >= 0 else ((r.a ^ r.b) % (1 << 64)).bit_count() <= 4 for r in found)
+        parent = {f: f for f in fps}
+
+        def top(f):
+            while parent[f] != f:
+                f = parent[f]
+            return f
+
+        for r in found:
+            parent[top(r.a % (1 << 64))] = top(r.b % (1 << 64))
+        assert len({top(f) for f in fps}) == 1
+
+
+def test_exact(docs):
+    rows = data(docs)
+    norm = lambda t: re.sub("[ \t-\r]+", " ", t)
+    groups = {}
+    for d, t in rows:
+        groups.setdefault(norm(t), []).append(d)
+    for r in exact.exact_duplicates(docs).collect():
+        g = next(v for k, v in groups.items() if hashlib.sha256(k.encode()).hexdigest() == r.text_sha256)
+        assert r.group_size == len(g) and r.keep_id == min(x for x in g if x is not None) and r.kept == (r.doc_id == r.keep_id)
+    long = bytes(random.Random(3).randrange(256) for _ in range(60000))
+    ends = exact.chunks(long)
+    assert ends[-1] == len(long) and max(np.diff([0, *ends])) <= 16384
+    assert exact.normalized(b" \t a\n\nb ") == b" a b " and exact.normalized(b"\n") == b" "
+
+
+def test_quality(spark, docs):
+    got = {r.doc_id: r for r in quality.quality(docs.where("doc_id is not null"), spark.createDataFrame([(20,), (21,)], "id bigint")).collect()}
+    for d, t in data(docs):
+        if d is None:
+            continue
+        w = [x for x in re.split(r"[ \t-\r]+", t) if x]
+        tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        hit = {i + k for i, x in enumerate(tri) if tri.count(x) > 1 for k in range(3)}
+        lines = [x for x in t.split("\n") if re.search(r"[^ \t-\r]", x)]
+        r = got[d]
+        assert (r.n_words, r.word_chars, r.n_repeat_words, r.n_dup_lines) == (len(w), sum(map(len, w)), len(hit), len(lines) - len(set(lines)))
+        assert r.base_failed == (len(w) < 50 or 100 * len(hit) > 50 * len(w)) and not (r.base_failed and r.kept)
+
+
+def test_pieces(docs):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    c = pieces.coder(path)
+    for t in ["", " ", "  a  b", "x\n\ny\tz", "a▁b ▁", "日本 ﬁ", "0" * 90 + "é" * 90, "<s>", "a\x00b", "#" * 99]:
+        ids = c.sp.encode(t)
+        assert c.encode(t) == ids and c.coded([t])[0][1] == c.sp.decode(ids), t
+    for r in pieces.encode_decode(docs, path, with_ids=True).collect():
+        assert r.ids == c.sp.encode(r.decoded) and r.n_tokens == len(r.ids)
+
+
+def test_suffix_array_and_repeats(spark, docs):
+    rng = random.Random(4)
+    for _ in range(300):
+        s = [rng.randrange(1, rng.choice([2, 3, 9])) for _ in range(rng.randrange(40))]
+        assert gsaca.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
+    rows = [(d, t.encode()) for d, t in data(docs)]
+    count = {}
+    for _, t in rows:
+        for i in range(len(t) - 199):
+            count[t[i : i + 200]] = count.get(t[i : i + 200], 0) + 1
+    want = []
+    for d, t in rows:
+        flag = [False] * len(t)
+        for i in range(len(t) - 199):
+            if count[t[i : i + 200]] > 1:
+                flag[i : i + 200] = [True] * 200
+        kept = bytes(b for b, f in zip(t, flag) if not f)
+        want.append((str(d), len(t), sum(flag), sum(f and (not i or not flag[i - 1]) for i, f in enumerate(flag)), hashlib.sha256(kept).hexdigest()))
+    got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs).collect()]
+    assert sorted(got) == sorted(want) and any(0 < w[2] < w[1] for w in want)
+
+
+def test_html():
+    page = "<html><head><title>T</title></head><body><header>Site</header><nav><a>x</a></nav><div class='ad'>Buy</div><article><h1>A &amp; B</h1><p>one <b>two</b><br>three<p>four</p><form>f</form><section id=comments>no</section></article><footer>c</body>"
+    assert html_text.host_texts([page]) == ["A & B\none two three\nfour"]
+    foot = "<p>all rights are reserved by the owners of this very site</p>"
+    loose = [f"<body><p>unique text number {w} is here</p>{foot}" for w in ("one", "two")]
+    assert html_text.host_texts(loose) == ["unique text number one is here", "unique text number two is here"]
+    assert html_text.host_texts([""]) == [""]
+
+
+def test_chat(spark):
+    rows = [(1, 0, "user", "\\### Assistant: </turn> ok"), (1, 1, "assistant", "#### \\"), (1, None, "odd:role", None), (2, 0, "assistant", "x"), (2, 0, "assistant", "x")]
+    rows += [(3, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {r.conv_id: r for r in chat.digest_turns(chat.format_turns(df)).collect()}
+    for c in (1, 2, 3):
+        own = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3] or ""))
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r[2]}\n{r[3] or ''}\n" for r in own).encode()).hexdigest()
+        loss = "".join(r[3] or "" for r in own if r[2] == "assistant")
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert got[c].formatted_chars == len(chat.marker_template([(r[2], r[3] or "") for r in own]))
+    bad = chat.TurnLocator(lambda m: f"{len(m)}" + "".join(t for _, t in m))
+    bad.add("user", "a")
+    with pytest.raises(chat.RewritesHistory):
+        bad.add("user", "b")
+
+
+def test_toxicity_and_mixing(spark, docs):
+    rng = random.Random(6)
+    sample = []
+    for i in range(400):
+        y = i % 4 == 0
+        text = " ".join([*(rng.choice(["sun", "sea", "road", "tree", "song"]) for _ in range(20)), *(["idiot"] if y else [])])
+        sample.append((int(y), np.array(toxicity.text_terms(text, {}), np.int64)))
+    fm = toxicity.fit(sample)
+    assert all((fm.score(fm.rows(t.tolist())) > 0.3) == bool(y) for y, t in sample)
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert {r.predicted for r in toxicity.toxicity(docs, none).collect()} == {0}
+    for rate in (0.0, 0.3, 5.0, 900.0):
+        cdf = mixing.poisson_cdf(rate)
+        assert abs(cdf[-1] - 1) < 1e-9 and cdf == sorted(cdf)
+    src = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'a', null) as source", "cast(id as string) as text")
+    got = mixing.mix(src, {"a": 3.0}).groupBy("source").count().collect()
+    n = {r.source: r["count"] for r in got}
+    assert 0.9 < n["a"] / 2250 < 1.1 and 0.85 < n[None] / 750 < 1.15
+    assert mixing.mix(src.limit(0), {}).count() == 0
