@@ -169,3 +169,13 @@ def test_oracle(spark):
         cols = sorted(got.columns)
         want = c.sql(f"select {', '.join(cols)} from ({ORACLE[name]})").fetchall()
         assert sorted(map(str, (tuple(r) for r in got.select(*cols).collect()))) == sorted(map(str, want)), name
+
+
+def test_merge_stream(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    ops = [(1, 1, 0, 1, "w", 5, "a", "tie", "x"), (2, 3, 0, 1, "w", 5, "a", "tie", "y"), (3, 2, 0, 1, "w", 5, "b", "tie", "z"), (4, 4, 0, 1, "w", 6, "a", "tie", "q"), (5, 5, 0, 1, "w", 6, "a", "delete", None)]
+    store.publish(spark.createDataFrame(ops, oplog.OPS), str(tmp_path / "r"))
+    changes = oplog.merge_stream(store.stream(spark, str(tmp_path / "r"), oplog.OPS + ", room string", "default"))
+    q = changes.writeStream.outputMode("update").format("memory").queryName("merged").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    assert rows(spark.table("merged").select("eid", "attribute", "live", "value")) == [(5, "a", True, "y"), (5, "b", True, "z"), (6, "a", False, None)]
