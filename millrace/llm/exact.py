@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import cut, utf8
+from .shared import cut, spread_join, utf8
 
 #: A value for each byte, from a fixed multiplicative rule; the rolling hash adds these.
 GEAR = ((np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
@@ -79,7 +79,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     3. Ordered identifier lists are compared: equal lists are equal texts.
 
     Counts are combined before the shuffle, so copies of one text are one row from
-    each task. Null text: as empty. Null id: takes part, is never keep_id unless all
+    each task, and a group of very many copies is answered by many tasks. Null text: as empty. Null id: takes part, is never keep_id unless all
     ids of the group are null. Repeated rows (an id more than once): one result
     each, all alike. Empty table: no rows. Other columns are not read."""
     own = cut(recipes(docs, id_col, text_col), "recipes")
@@ -93,8 +93,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         each = own.select("doc_id", "text_sha256", F.monotonically_increasing_id().alias("row"), "n_bytes", F.posexplode_outer(F.arrays_zip("keys", "digests")).alias("i", "c")).join(clash.withColumnRenamed("key", "k"), F.col("c.keys") == F.col("k"), "left")
         name = F.when(F.col("k").isNull(), F.col("c.keys").cast("string")).otherwise(F.concat_ws(":", F.col("c.keys"), F.hex("c.digests")))
         lists = each.groupBy("row", "doc_id", "text_sha256", "n_bytes").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", name.alias("id"))))), lambda x: x["id"]).alias("ids"))
-    lists = lists.select("doc_id", "text_sha256", "n_bytes", "ids", F.xxhash64("ids", "n_bytes").alias("h"))
-    groups = lists.groupBy("h", "n_bytes", "ids").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = groups.select(F.col("h").alias("gh"), F.col("n_bytes").alias("gn"), F.col("ids").alias("gi"), "keep_id", "group_size")
-    out = lists.join(groups, (F.col("h") == F.col("gh")) & (F.col("n_bytes") == F.col("gn")) & (F.col("ids") == F.col("gi")))
+    lists = cut(lists.select("doc_id", "text_sha256", "n_bytes", "ids", F.xxhash64("ids", "n_bytes").alias("h")), "recipe-lists")
+    groups = cut(lists.groupBy("h", "n_bytes", "ids").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "recipe-groups")
+    by_hash = groups.groupBy("h").agg(F.sum("group_size").alias("n"))
+    small = groups.select("h", F.col("n_bytes").alias("gn"), F.col("ids").alias("gi"), "keep_id", "group_size")
+    out = spread_join(lists, small, ["h"], by_hash, lists.count()).where((F.col("n_bytes") == F.col("gn")) & (F.col("ids") == F.col("gi")))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -51,6 +51,26 @@ def utf8(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+#: A key of over one in so many rows is dealt out in pieces of about that share.
+PIECES = 1000
+
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], counts: DataFrame, total: int) -> DataFrame:
+    """Inner equi-join where single keys may hold a large share of ``big``: such a key's
+    rows are dealt over as many tasks as it has pieces, its rows of ``small`` go to all.
+
+    ``counts`` (keys, n) says how many of the ``total`` rows of ``big`` each key has and
+    should be a written table, ``big``, too, as rows are dealt by position. The list of
+    large keys is broadcast: fewer than ``PIECES`` rows whatever the input, as each has
+    over a ``PIECES``-th of all. Pieces of all keys together: under twice ``PIECES``."""
+    hot = counts.where(F.col("n") * PIECES > total).select(*(F.col(k).alias(f"_{k}") for k in keys), F.ceil(F.col("n") * PIECES / max(total, 1)).cast("int").alias("_pieces"))
+    on = [F.col(k) == F.col(f"_{k}") for k in keys]
+    salt = F.pmod(F.monotonically_increasing_id(), F.coalesce("_pieces", F.lit(1)).cast("long")).cast("int")
+    left = big.join(F.broadcast(hot), on, "left").select(*big.columns, salt.alias("_salt"))
+    right = small.join(F.broadcast(hot), on, "left").select(*small.columns, F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)).alias("_salt"))
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable over ``edges`` (a, b: long).
 
