@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import cut, utf8
+from .shared import cut, spread_join, utf8
 
 _B = 0x9E3779B97F4A7C15 | 1
 _POS = 20
@@ -67,23 +67,29 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, np.uint64).view(np.int64)
 
 
-def _contexts(data: bytes, length: int, k: int):
-    """Of each anchor: gram, context hash, first and last window, all as arrays."""
+def _contexts(data: bytes, length: int, k: int, bitmap: np.ndarray | None):
+    """Of each anchor, with a bitmap only of those whose gram is in it: gram, context
+    hash, first and last window, all as arrays."""
     gram, at, first, last = anchors(data, length, k)
+    if bitmap is not None:
+        use = _has(bitmap, gram)
+        gram, first, last = gram[use], first[use], last[use]
     view = memoryview(data)
     ctx = np.array([xxhash.xxh3_64_intdigest(view[a : b + length]) for a, b in zip(first.tolist(), last.tolist())], np.uint64)
-    return gram, ctx, at, first, last
+    return gram, ctx, first, last
 
 
 _OCCUR = "gram long, ctx long, t1 long, t2 long, first int, last int"
 
 
-def _occurrences(length: int, k: int):
-    """mapInArrow from text: an anchor's hashes and place, for each anchor. The same
-    text is given at most twice by a task, which is enough to tell it is repeated."""
+def _occurrences(length: int, k: int, shared=None):
+    """mapInArrow from text: an anchor's hashes and place, for each anchor, with
+    ``shared`` for those whose gram is in that bitmap. The same text is given at most
+    twice by a task, which is enough to tell it is repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], int] = {}
+        bitmap = shared.value if shared else None
         for b in batches:
             cols: list[list[np.ndarray]] = [[] for _ in range(6)]
             for t in b.column(0):
@@ -96,7 +102,7 @@ def _occurrences(length: int, k: int):
                 seen[tid] = n = seen.get(tid, 0) + 1
                 if n > 2:
                     continue
-                gram, ctx, _, first, last = _contexts(data, length, k)
+                gram, ctx, first, last = _contexts(data, length, k, bitmap)
                 for c, v in zip(cols, (_signed(gram), _signed(ctx), np.full(len(gram), tid[0]), np.full(len(gram), tid[1]), first.astype(np.int32), last.astype(np.int32))):
                     c.append(v)
             if cols[0]:
@@ -317,22 +323,32 @@ def repeated_spans(texts: DataFrame, length: int = 200, gram: int = 64, batch: i
     ``length`` bytes that start anywhere else, too.
 
     1. Every window of ``length`` bytes has an anchor that only its own bytes decide,
-       so equal windows meet in the group of their anchor's gram; where the whole
-       context of an anchor is found twice, all its windows are.
+       so equal windows meet under their anchor's gram; where the whole context of an
+       anchor is found twice, all its windows are.
     2. In groups with different contexts, suffix arrays (linear grouping) sort the
        sides of the contexts, and common prefixes show which windows are shared.
-    Only hashes of unrepeated text are shuffled; contexts of flagged grams are, once
-    for a task."""
+
+    Grams are counted with map-side combining; a bitmap of those found twice keeps
+    most unrepeated anchors where they are, an exact join removes the bitmap's errors.
+    Anchors are joined to what is known of grams and contexts, so that a passage of
+    very many documents is spread over tasks; contexts are moved once for a task."""
     spark = texts.sparkSession
-    occ = texts.mapInArrow(_occurrences(length, gram), _OCCUR).repartition("gram")
-    both = F.expr("count(*) over (partition by gram, ctx)"), F.expr("min(ctx) over (partition by gram) <> max(ctx) over (partition by gram)")
-    occ = cut(occ.select("*", both[0].alias("n"), both[1].alias("multi")).where("n > 1 or multi"), "repeats-found")
-    covered = occ.where("n > 1").select("t1", "t2", F.col("first").alias("lo"), (F.col("last") + length).alias("hi"))
-    grams = spark.sparkContext.broadcast(_bits(occ.where("multi"), "gram"))
-    contexts = texts.mapInArrow(_flagged_contexts(length, gram, grams), "gram long, ctx long, lo int, hi int, left binary, right binary")
+    grams = texts.mapInArrow(_occurrences(length, gram), _OCCUR).groupBy("gram").agg(F.count("*").alias("n"), (F.min("ctx") != F.max("ctx")).alias("multi")).where("n > 1")
+    grams = cut(grams, "repeats-grams")
+    again = spark.sparkContext.broadcast(_bits(grams, "gram"))
+    near = cut(texts.mapInArrow(_occurrences(length, gram, again), _OCCUR), "repeats-near")
+    occ = cut(spread_join(near, grams.select("gram", "multi"), ["gram"], grams.select("gram", "n"), near.count()), "repeats-found")
+    whole = occ.where("not multi").select("t1", "t2", F.col("first").alias("lo"), (F.col("last") + length).alias("hi"))
+    mixed = occ.where("multi").select("gram", "ctx", "t1", "t2", "first", "last")
+    counts = cut(mixed.groupBy("gram", "ctx").agg(F.count("*").alias("n")), "repeats-contexts")
+    flagged = spark.sparkContext.broadcast(_bits(grams.where("multi"), "gram"))
+    contexts = texts.mapInArrow(_flagged_contexts(length, gram, flagged), "gram long, ctx long, lo int, hi int, left binary, right binary")
     shared = contexts.repartition("gram").sortWithinPartitions("gram", "ctx").mapInArrow(_shared(length, gram, batch), _SHARED)
-    single = occ.where("n = 1").join(shared, ["gram", "ctx"]).select("t1", "t2", (F.col("first") + F.col("from_")).alias("lo"), (F.col("first") + F.col("to_") + length).alias("hi"))
-    return covered.union(single).groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    full = counts.where("n > 1").select("gram", "ctx", F.lit(0).alias("from_"), F.lit(None).cast("int").alias("to_"))
+    windows = cut(shared.join(full, ["gram", "ctx"], "left_anti").union(full), "repeats-windows")
+    part = spread_join(mixed, windows, ["gram", "ctx"], counts, mixed.count())
+    part = part.select("t1", "t2", (F.col("first") + F.col("from_")).alias("lo"), (F.coalesce(F.col("first") + F.col("to_"), F.col("last")) + length).alias("hi"))
+    return whole.union(part).groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 64, with_text: bool = False) -> DataFrame:
