@@ -224,6 +224,55 @@ def shared_windows(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray, left: list
     return out
 
 
+def _hot_windows(length: int, k: int, shared):
+    """mapInArrow from text: each window of each anchor whose gram is in the bitmap, as
+    gram, context and window hash and its offset in the context. A context once for a
+    task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        bitmap = shared.value
+        for b in batches:
+            for t in b.column(0):
+                data = t.as_py()
+                gram, _, first, last = anchors(data, length, k)
+                view, cols = memoryview(data), [[], [], [], []]
+                for i in np.flatnonzero(_has(bitmap, gram)).tolist() if len(gram) else ():
+                    g, f, e = int(gram[i]), int(first[i]), int(last[i])
+                    h = xxhash.xxh3_64_intdigest(view[f : e + length])
+                    if (g, h) in seen:
+                        continue
+                    if len(seen) > 400_000:
+                        seen.clear()
+                    seen.add((g, h))
+                    for c, v in zip(cols, ([g] * (e - f + 1), [h] * (e - f + 1), [xxhash.xxh3_64_intdigest(view[w : w + length]) for w in range(f, e + 1)], range(e - f + 1))):
+                        c.extend(v)
+                    if len(cols[0]) > 100_000:
+                        yield _window_batch(cols)
+                        cols = [[], [], [], []]
+                if cols[0]:
+                    yield _window_batch(cols)
+
+    return run
+
+
+def _window_batch(cols: list[list[int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(_signed(np.array(c, np.uint64))) for c in cols[:3]), pa.array(cols[3], pa.int32())], names=["gram", "ctx", "win", "off"])
+
+
+def _hot_shared(texts: DataFrame, length: int, gram: int, hot: np.ndarray) -> DataFrame:
+    """What ``_shared`` finds, for grams in the bitmap ``hot``, whose contexts are too many
+    for one task: their windows are rows, counted by hash with map-side combining, so
+    no gram is gathered anywhere."""
+    spark = texts.sparkSession
+    rows = cut(texts.mapInArrow(_hot_windows(length, gram, spark.sparkContext.broadcast(hot)), "gram long, ctx long, win long, off int"), "repeats-hot")
+    found = cut(rows.groupBy("gram", "win").agg(F.count("*").alias("n"), (F.min("ctx") != F.max("ctx")).alias("multi")).where("multi").drop("multi"), "repeats-hot-windows")
+    hits = spread_join(rows, found.select("gram", "win"), ["gram", "win"], found, rows.count())
+    each = hits.groupBy("gram", "ctx").agg(F.array_sort(F.collect_set("off")).alias("o"))  # an offset is under ``length``
+    runs = F.expr("explode(zip_with(filter(o, x -> not array_contains(o, x - 1)), filter(o, x -> not array_contains(o, x + 1)), (x, y) -> struct(x as from_, y as to_)))")
+    return each.select("gram", "ctx", runs.alias("r")).select("gram", "ctx", "r.from_", "r.to_")
+
+
 _SHARED = "gram long, ctx long, from_ int, to_ int"
 
 
@@ -327,6 +376,8 @@ def repeated_spans(texts: DataFrame, length: int = 200, gram: int = 64, batch: i
        anchor is found twice, all its windows are.
     2. In groups with different contexts, suffix arrays (linear grouping) sort the
        sides of the contexts, and common prefixes show which windows are shared.
+       Grams with over ``batch`` different contexts, such as at the edges of a very
+       common passage, have their windows counted by hash instead, over all tasks.
 
     Grams are counted with map-side combining; a bitmap of those found twice keeps
     most unrepeated anchors where they are, an exact join removes the bitmap's errors.
@@ -341,9 +392,13 @@ def repeated_spans(texts: DataFrame, length: int = 200, gram: int = 64, batch: i
     whole = occ.where("not multi").select("t1", "t2", F.col("first").alias("lo"), (F.col("last") + length).alias("hi"))
     mixed = occ.where("multi").select("gram", "ctx", "t1", "t2", "first", "last")
     counts = cut(mixed.groupBy("gram", "ctx").agg(F.count("*").alias("n")), "repeats-contexts")
-    flagged = spark.sparkContext.broadcast(_bits(grams.where("multi"), "gram"))
+    # Either way is exact, so a gram that only shares its bit with a hot one may go that way.
+    hot = _bits(counts.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > batch), "gram")
+    flagged = spark.sparkContext.broadcast(_bits(grams.where("multi"), "gram") & ~hot)
     contexts = texts.mapInArrow(_flagged_contexts(length, gram, flagged), "gram long, ctx long, lo int, hi int, left binary, right binary")
     shared = contexts.repartition("gram").sortWithinPartitions("gram", "ctx").mapInArrow(_shared(length, gram, batch), _SHARED)
+    if hot.any():
+        shared = shared.union(_hot_shared(texts, length, gram, hot))
     full = counts.where("n > 1").select("gram", "ctx", F.lit(0).alias("from_"), F.lit(None).cast("int").alias("to_"))
     windows = cut(shared.join(full, ["gram", "ctx"], "left_anti").union(full), "repeats-windows")
     part = spread_join(mixed, windows, ["gram", "ctx"], counts, mixed.count())
@@ -351,7 +406,7 @@ def repeated_spans(texts: DataFrame, length: int = 200, gram: int = 64, batch: i
     return whole.union(part).groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 64, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 64, with_text: bool = False, batch: int = 4000) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and
     with ``with_text`` kept (the remaining bytes, null where all remain).
 
@@ -360,7 +415,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     no rows. Other columns are not read."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    spans = cut(repeated_spans(rows.select("text"), length, gram), "repeats-spans")
+    spans = cut(repeated_spans(rows.select("text"), length, gram, batch), "repeats-spans")
     # Texts that a removal leaves something of are needed once more; the others are not moved.
     flags = spark.sparkContext.broadcast(_bits(spans, "t2"))
     each = rows.mapInArrow(_with_text(flags), "doc_id long, t1 long, t2 long, n_bytes long, text binary, sha string")

@@ -149,8 +149,30 @@ def test_suffix_array_and_repeats(spark, docs):
                 flag[i : i + 200] = [True] * 200
         kept = bytes(b for b, f in zip(t, flag) if not f)
         want.append((str(d), len(t), sum(flag), sum(f and (not i or not flag[i - 1]) for i, f in enumerate(flag)), hashlib.sha256(kept).hexdigest()))
-    got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs).collect()]
-    assert sorted(got) == sorted(want) and any(0 < w[2] < w[1] for w in want)
+    for batch in (4000, 1):  # with 1, windows of every gram of several contexts are rows of their own
+        got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs, batch=batch).collect()]
+        assert sorted(got) == sorted(want) and any(0 < w[2] < w[1] for w in want)
+
+
+def test_repeats_of_a_very_common_passage(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(60))
+    texts = [" ".join(word() for _ in range(40)) + rng.choice([" ", " x ", ""]) + passage[rng.randrange(30) :] + " ".join(word() for _ in range(40)) for _ in range(30)]
+    count = {}
+    for t in texts:
+        for i in range(len(t) - 199):
+            count[t[i : i + 200]] = count.get(t[i : i + 200], 0) + 1
+    want = {}
+    for d, t in enumerate(texts):
+        cover = set()
+        for i in range(len(t) - 199):
+            if count[t[i : i + 200]] > 1:
+                cover |= set(range(i, i + 200))
+        want[d] = (len(cover), hashlib.sha256("".join(c for i, c in enumerate(t) if i not in cover).encode()).hexdigest())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for batch in (4000, 20, 3):
+        assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(df, batch=batch).collect()} == want
 
 
 def test_html():
@@ -198,3 +220,28 @@ def test_toxicity_and_mixing(spark, docs):
     n = {r.source: r["count"] for r in got}
     assert 0.9 < n["a"] / 2250 < 1.1 and 0.85 < n[None] / 750 < 1.15
     assert mixing.mix(src.limit(0), {}).count() == 0
+
+
+def test_pipeline_stages_on_null_and_repeated_ids(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(3)
+    long = [" ".join(f"w{rng.randrange(4000)}" for _ in range(90)) for _ in range(4)]
+    rows = [(None, long[0]), (None, long[0] + " "), (None, long[1]), (1, long[1]), (1, long[2]), (1, long[2]), (1, long[3]), (2, long[3].replace(" ", "\n")), (4, None), (3, ""), (5, " ")]
+    df = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    kept = cp.exact_out(spark, df, "")
+    want = {}
+    for i, t in rows:
+        k = norm(t)
+        want[k] = i if k not in want or want[k] is None else min(want[k], i if i is not None else want[k])
+    assert kept.columns == cp.COLUMNS
+    assert sorted((norm(r.text), str(r.doc_id)) for r in kept.collect()) == sorted((k, str(i)) for k, i in want.items())
+    near = cp.near_out(spark, kept, "")
+    root = {}
+    for r in kept.collect():
+        g = root.setdefault(simhash.fingerprint((r.text or "").encode()), [])
+        g.append((r.doc_id is None, r.doc_id or 0))
+    assert near.columns == cp.COLUMNS
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in near.collect()) == sorted(min(g) for g in root.values())
+    assert cp.near_out(spark, kept.limit(0), "").count() == 0 and cp.exact_out(spark, df.limit(0), "").count() == 0
