@@ -38,15 +38,17 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42, block: int = 1 <<
     return int(((counts * 2 > n).astype(np.uint64) << _BITS).sum(dtype=np.uint64))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns ``carry``: fp is the fingerprint's 64 bits as a signed long."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"), *carry)
+    names = ["doc_id", "fp", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)]))
 
 
 def popcounts(fp: F.Column) -> F.Column:
@@ -206,18 +208,19 @@ def links(fps: DataFrame, distance: int = 4, bands: int = 7, small: int = 24, bl
     return found.where("block is null").select("a", "b").union(more).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, bands: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, bands: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, fp (signed), component_id, the smallest doc_id
-    reachable over fingerprints at ``distance`` or fewer differing bits.
+    reachable over fingerprints at ``distance`` or fewer differing bits, component_fp,
+    a fingerprint that names the component, and the columns ``carry``.
 
     Null text: as empty; texts without a word have fingerprint zero and are linked
     like any other. Null id: the row takes part, but its id is nobody's component_id
     unless all ids of the component are null. Repeated rows: one result each. Empty
     table: no rows. Other columns are not read."""
-    fps = cut(fingerprints(docs, id_col, text_col), "simhash-fp")
+    fps = cut(fingerprints(docs, id_col, text_col, carry), "simhash-fp")
     groups = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-groups")
     roots = components(links(groups.select("fp"), distance, bands))
     named = groups.join(roots, groups.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = named.join(least, "root").select("fp", "component_id", F.col("root").alias("component_fp"))
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "component_fp", *carry)
