@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -113,31 +114,47 @@ def chunk(df: DataFrame, most: int, overlap: int = 0, text: str = "text", separa
     return df.select("eid", F.posexplode(parts(text)).alias("position", "chunk"))
 
 
-def hash_vector(text: str, dim: int) -> list[float]:
-    """A deterministic unit vector: each token's 64-bit hash drives a xorshift64*
-    generator, and the tokens' numbers in [-1, 1) are added up."""
-    import numpy as np
+#: A worker's table of token vectors is emptied beyond so many numbers.
+KNOWN_NUMBERS = 4_000_000
+
+
+def _token_vector(word: str, dim: int) -> np.ndarray:
+    full = (1 << 64) - 1
+    v = np.zeros(dim, np.float32)
+    h = fnv1a_64(word.encode())
+    for i in range(dim):
+        h ^= h >> 12
+        h = (h ^ (h << 25)) & full
+        h ^= h >> 27
+        v[i] = np.float32(((h * 0x2545F4914F6CDD1D & full) >> 11) / (1 << 53)) * np.float32(2) - np.float32(1)
+    return v
+
 
+def hash_vector(text: str, dim: int, known: dict[str, np.ndarray] | None = None) -> list[float]:
+    """A deterministic unit vector: each token's 64-bit hash drives a xorshift64*
+    generator, and the tokens' numbers in [-1, 1) are added up in the text's order.
+    ``known`` keeps tokens' numbers from text to text."""
+    known = {} if known is None else known
     words = text.split()
     v = np.zeros(dim, np.float32)
     if not words:
         v[:1] = 1.0
         return v.tolist()
-    full = (1 << 64) - 1
     for w in words:
-        h = fnv1a_64(w.encode())
-        for i in range(dim):
-            h ^= h >> 12
-            h = (h ^ (h << 25)) & full
-            h ^= h >> 27
-            v[i] += np.float32(((h * 0x2545F4914F6CDD1D & full) >> 11) / (1 << 53)) * np.float32(2) - np.float32(1)
+        x = known.get(w)
+        if x is None:
+            if len(known) * dim > KNOWN_NUMBERS:
+                known.clear()
+            x = known[w] = _token_vector(w, dim)
+        v += x
     n = float(np.sqrt((v.astype(np.float64) ** 2).sum()))
     return (v / n if n else v).tolist()
 
 
 def embed(df: DataFrame, dim: int, text: str = "text", embedder: Callable[[str], list[float]] | None = None) -> DataFrame:
     """(eid, embedding) by the hash embedder or any function from text to vector."""
-    make = embedder or (lambda t: hash_vector(t, dim))
+    known: dict[str, np.ndarray] = {}
+    make = embedder or (lambda t: hash_vector(t, dim, known))
 
     @F.pandas_udf("array<float>")
     def vectors(texts: pd.Series) -> pd.Series:

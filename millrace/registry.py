@@ -372,8 +372,7 @@ def chunk(spark, d):
 
 @query()
 def hash_embed(spark, d):
-    docs = _documents(spark, d).select("eid", F.array_join(F.slice(fn.tokens(F.col("text")), 1, 8), " ").alias("text"))
-    return rag.embed(docs, 16).select("eid", F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).alias("embedding"))
+    return rag.embed(_documents(spark, d), 16).select("eid", F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).alias("embedding"))
 
 
 @query(f"WITH {_BM25}, top AS (SELECT eid, score FROM bm ORDER BY score DESC, eid LIMIT 20) SELECT eid, strlen(text)::INT AS bytes FROM top JOIN documents ON doc_id = eid")

@@ -179,3 +179,35 @@ def test_merge_stream(spark, tmp_path):
     q = changes.writeStream.outputMode("update").format("memory").queryName("merged").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(90)
     assert rows(spark.table("merged").select("eid", "attribute", "live", "value")) == [(5, "a", True, "y"), (5, "b", True, "z"), (6, "a", False, None)]
+
+
+def test_hash_embed_takes_whole_texts(spark, tmp_path):
+    from millrace.registry import QUERIES
+
+    full = (1 << 64) - 1
+
+    def brute(text):
+        v = [0.0] * 16
+        for w in text.split():
+            h = 0xCBF29CE484222325
+            for b in w.encode():
+                h = (h ^ b) * 0x100000001B3 & full
+            for i in range(16):
+                h ^= h >> 12
+                h = (h ^ (h << 25)) & full
+                h ^= h >> 27
+                v[i] += (h * 0x2545F4914F6CDD1D & full) / 2**64 * 2 - 1
+        if not text.split():
+            v[0] = 1.0
+        n = sum(x * x for x in v) ** 0.5
+        return [x / n for x in v]
+
+    rng = random.Random(11)
+    start = "One two, three four five six seven eight"
+    texts = [None, "", " ", "one", start, start + " nine", start + " ten"] + [" ".join(f"w{rng.randrange(50)}" for _ in range(n)) for n in (8, 9, 300, 3000)]
+    spark.createDataFrame([(i, t, "en", "src0", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.eid: r.embedding for r in QUERIES["hash_embed"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert all(abs(x - y) < 2e-4 for x, y in zip(got[i], brute(t or ""), strict=True)), t and t[:60]
+    assert got[4] != got[5] != got[6]
