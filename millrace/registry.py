@@ -233,6 +233,17 @@ def sql_nulls_desc(spark, d):
     return db.execute("SELECT q FROM t ORDER BY q DESC LIMIT 40").agg((F.count("*") - F.count("q")).alias("nulls"), F.coalesce(F.sum("q"), F.lit(0)).alias("sum"))
 
 
+@query("""WITH t AS (SELECT l_orderkey::BIGINT AS id, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity::BIGINT END AS q FROM lineitem),
+    r AS (SELECT q FROM t ORDER BY q DESC NULLS FIRST LIMIT 40), s AS (SELECT q FROM t WHERE q IS NOT NULL ORDER BY q DESC NULLS FIRST LIMIT 40)
+    SELECT count(*) - count(q) AS nulls, (SELECT coalesce(sum(q), 0)::BIGINT FROM s) AS sum FROM r""")
+def sql_nulls_desc_all(spark, d):
+    """All of lineitem: the nulls among the first rows, the sum of the first that are none."""
+    db = Database(spark)
+    db.register("t", _lines(spark, d).selectExpr("orderkey as id", "if(line = 3, null, qty) as q"))
+    nulls = db.execute("SELECT q FROM t ORDER BY q DESC LIMIT 40").agg((F.count("*") - F.count("q")).alias("nulls"))
+    return nulls.crossJoin(db.execute("SELECT q FROM t WHERE q IS NOT NULL ORDER BY q DESC LIMIT 40").agg(F.coalesce(F.sum("q"), F.lit(0)).alias("sum")))
+
+
 @query(f"WITH {_C} SELECT id, name, CASE WHEN id = 7 THEN 'MOVED' ELSE segment END AS segment FROM c WHERE id BETWEEN 5 AND 9 UNION ALL SELECT 99999999, 'new', 'X'")
 def sql_or_replace(spark, d):
     db = _db(spark, d)

@@ -211,3 +211,26 @@ def test_hash_embed_takes_whole_texts(spark, tmp_path):
     for i, t in enumerate(texts):
         assert all(abs(x - y) < 2e-4 for x, y in zip(got[i], brute(t or ""), strict=True)), t and t[:60]
     assert got[4] != got[5] != got[6]
+
+
+def check_against_sql(spark, d, name, tables):
+    duckdb = pytest.importorskip("duckdb")
+    from millrace.registry import ORACLE, QUERIES
+
+    c = duckdb.connect()
+    for t in tables:
+        c.sql(f"create view {t} as select * from '{d}/{t}.parquet/*.parquet'")
+    got = QUERIES[name](spark, str(d))
+    cols = sorted(got.columns)
+    want = c.sql(f"select {', '.join(cols)} from ({ORACLE[name]})").fetchall()
+    got = [tuple(r) for r in got.select(*cols).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    return sorted(got)
+
+
+def test_sql_nulls_desc_sorts_all_rows(spark, tmp_path):
+    lines = [(order, 1, 1, line, float(order % 90 + line), "N", "O", "1997-01-01") for order in range(2, 400) for line in range(1, 5)]
+    cols = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string, l_shipdate string"
+    spark.createDataFrame(lines, cols).write.parquet(str(tmp_path / "lineitem.parquet"))
+    q = sorted((int(x[4]) for x in lines if x[3] != 3), reverse=True)
+    assert check_against_sql(spark, tmp_path, "sql_nulls_desc_all", ["lineitem"]) == [(40, sum(q[:40]))]
