@@ -71,11 +71,14 @@ class FactorizationMachine:
         return at[self.terms[at] == h]
 
 
-def fit(samples: list[tuple[int, np.ndarray]], factors: int = 4, epochs: int = 12, least_docs: int = 3, least_z: float = 3.5, step: float = 0.1, decay: float = 2e-4, pair_decay: float = 2e-3, seed: int = 7, max_terms: int = FIT_TERMS) -> FactorizationMachine:
+def fit(samples: list[tuple[int, np.ndarray]], factors: int = 4, epochs: int = 12, least_docs: int = 3, step: float = 0.1, decay: float = 2e-4, pair_decay: float = 2e-3, sure_z: float = 3.5, inertia: float = 300.0, seed: int = 7, max_terms: int = FIT_TERMS) -> FactorizationMachine:
     """Fit by AdaGrad on (label, sorted term hashes), in the order of the hashes'
     digest, so that a fit does not depend on the order rows came in. Terms of under
-    ``least_docs`` samples are left out, and those whose share among toxic samples is
-    not ``least_z`` standard errors from that among the others."""
+    ``least_docs`` samples are left out, beyond ``max_terms`` the rarest. No
+    term goes for its own share among toxic samples, as it can matter beside another
+    only; one whose share is not ``sure_z`` standard errors from that among the others
+    learns slowly (AdaGrad starts at ``inertia``), so that rare terms are not learnt by
+    heart."""
     samples = sorted(samples, key=lambda s: (zlib.crc32(s[1].tobytes()), len(s[1]), s[0]))
     if not samples or len({y for y, _ in samples}) < 2:
         p = float(np.mean([y for y, _ in samples])) if samples else 0.0
@@ -88,12 +91,13 @@ def fit(samples: list[tuple[int, np.ndarray]], factors: int = 4, epochs: int = 1
     rate = n / total
     spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / ones + 1 / (total - ones)))
     z = (in_toxic / ones - (n - in_toxic) / (total - ones)) / spread
-    keep = np.flatnonzero((n >= least_docs) & (np.abs(z) >= least_z))
-    keep = np.sort(keep[np.argsort(-np.abs(z[keep]), kind="stable")[:max_terms]])
+    keep = np.flatnonzero(n >= least_docs)
+    keep = np.sort(keep[np.argsort(-n[keep], kind="stable")[:max_terms]])
     terms = terms[keep]
+    slow = np.where(np.abs(z[keep]) >= sure_z, 1e-3, inertia)
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), factors))
-    gw, gv, w0, g0 = np.full(len(terms), 1e-3), np.full((len(terms), factors), 1e-3), 0.0, 1e-3
+    gw, gv, w0, g0 = slow.copy(), np.repeat(slow[:, None], factors, 1), 0.0, 1e-3
     fm = FactorizationMachine(terms, 0.0, w, v)
     data = [(y, fm.rows(t)) for y, t in samples]
     for _ in range(epochs):

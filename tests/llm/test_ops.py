@@ -245,3 +245,16 @@ def test_pipeline_stages_on_null_and_repeated_ids(spark):
     assert near.columns == cp.COLUMNS
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in near.collect()) == sorted(min(g) for g in root.values())
     assert cp.near_out(spark, kept.limit(0), "").count() == 0 and cp.exact_out(spark, df.limit(0), "").count() == 0
+
+
+def test_toxicity_learns_a_pair_of_neutral_terms():
+    def pairs(n, seed):
+        rng = random.Random(seed)
+        for k in range(n):
+            a, b = k & 1, k >> 1 & 1  # each alone says nothing, as the label is whether they go together
+            words = rng.sample(["sun", "sea", "road", "tree", "song"], 3) + ["north"] * a + ["kettle"] * b
+            yield int(a == b), np.array(toxicity.text_terms(" ".join(words), {}), np.int64)
+
+    fm = toxicity.fit(list(pairs(1200, 1)))
+    assert {toxicity.term_hash("wnorth"), toxicity.term_hash("wkettle")} <= set(fm.terms.tolist())
+    assert sum((fm.score(fm.rows(t.tolist())) > toxicity.THRESHOLD) == bool(y) for y, t in pairs(200, 2)) > 180
