@@ -258,3 +258,23 @@ def test_toxicity_learns_a_pair_of_neutral_terms():
     fm = toxicity.fit(list(pairs(1200, 1)))
     assert {toxicity.term_hash("wnorth"), toxicity.term_hash("wkettle")} <= set(fm.terms.tolist())
     assert sum((fm.score(fm.rows(t.tolist())) > toxicity.THRESHOLD) == bool(y) for y, t in pairs(200, 2)) > 180
+
+
+def test_chat_templates_that_look_far_back(spark):
+    turns = [(("user", "assistant")[i % 2], f"t{i}") for i in range(40)]
+    numbered = lambda m: "<s>" + "".join(f"[{i}] {r}: {t}\n" for i, (r, t) in enumerate(m))
+    df = spark.createDataFrame([(c, i, r, t) for c in (1, 2) for i, (r, t) in enumerate(turns)], "conv_id bigint, turn bigint, role string, text string")
+    whole, rows = numbered(turns), {}
+    for r in chat.format_turns(df, numbered).collect():
+        rows.setdefault(r.conv_id, []).append(r)
+    for got in rows.values():
+        got.sort(key=lambda r: r.position)
+        assert "".join(r.span for r in got) == whole and [r.start for r in got] == [len(numbered(turns[:i])) if i else 0 for i in range(40)]
+        assert [whole[r.loss_start : r.loss_end] for r in got if r.loss_start is not None] == [t for r, t in turns if r == "assistant"]
+
+    def shortens(m):  # the first turn goes when the whole has over 20 turns
+        return "".join(f"{r}: {t}\n" for r, t in ([("system", "cut"), *m[1:]] if len(m) > 20 else m))
+
+    assert len(chat.locate_turns(shortens, turns[:20])) == 20
+    with pytest.raises(chat.RewritesHistory):
+        chat.locate_turns(shortens, turns)
