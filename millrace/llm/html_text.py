@@ -9,8 +9,11 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import cut, spread_join
+
 # Element and class names of HTML pages.
 RAW = {"script", "style", "noscript", "template", "textarea", "select", "iframe", "svg", "math", "title", "object", "canvas", "video", "audio"}
 CHROME = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset"}
@@ -201,23 +204,121 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+PARSED = "host string, page_id long, url string, stream binary, marked boolean, texts array<string>, drops array<boolean>, uid long"
+
+
+def _digest(*parts: str) -> bytes:
+    return xxhash.xxh3_128_digest("\0".join(parts).encode())
+
+
+def _units(texts: list[str], least: int) -> set[bytes]:
+    """Digests of a stream's distinct strings of ``least`` tokens, and of its shorter
+    blocks, which are compared whole."""
+    out = set()
+    for t in texts:
+        words = t.split(" ")
+        if len(words) < least:
+            out.add(_digest("b", t))
+        else:
+            out.update(_digest("s", *words[i : i + least]) for i in range(len(words) - least + 1))
+    return out
+
+
+def _without(texts: list[str], drops: list[bool], repeated: set[bytes], least: int) -> str:
+    """What ``host_texts`` keeps of a page that marks no main part."""
+    kept = []
+    for t, drop in zip(texts, drops):
+        words = t.split(" ")
+        if drop or len(words) < least and _digest("b", t) in repeated:
+            continue
+        covered = np.zeros(len(words), bool)
+        for i in range(len(words) - least + 1):
+            if _digest("s", *words[i : i + least]) in repeated:
+                covered[i : i + least] = True
+        own = [w for w, c in zip(words, covered) if not c]
+        if own:
+            kept.append(" ".join(own))
+    return "\n".join(kept)
+
+
+def _result(ids, urls, texts: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+
+def large_hosts(rows: DataFrame, least: int = 8) -> DataFrame:
+    """``RESULT`` for pages (page_id, url, html, host) of hosts too large for one task,
+    the same as by ``host_texts`` over each whole host.
+
+    A string of ``least`` tokens repeats if distinct streams of its host have it: the
+    least and the greatest stream digest of each string's, combined before the shuffle,
+    differ. Pages without a marked main part get their repeated strings back by a join
+    that deals common strings over many tasks, then by the row's number, so neither a
+    host nor a string is one task's burden. Digests have 128 bits."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[], [], [], []]
+            for page in b.column(2).to_pylist():
+                found, marked = blocks(page)
+                used = [t for t, drop in found if drop or not marked]
+                for x, v in zip(out, (_digest(str(len(used)), *used), marked, [t for t, _ in found], [bool(d) for _, d in found])):
+                    x.append(v)
+            yield pa.RecordBatch.from_arrays([b.column(3), b.column(0), b.column(1), *(pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.bool_()))))], names=[c.split()[0] for c in PARSED.split(", ")][:7])
+
+    parsed = rows.select("page_id", "url", "html", "host").mapInArrow(parse, PARSED.rpartition(",")[0])
+    parsed = cut(parsed.withColumn("uid", F.monotonically_increasing_id()), "html-parsed")
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            host, stream, uid, gram = [], [], [], []
+            for h, s, u, marked, texts, drops in zip(*(b.column(i).to_pylist() for i in range(6))):
+                found = _units([t for t, d in zip(texts, drops) if d or not marked], least)
+                host += [h] * len(found)
+                stream += [s] * len(found)
+                uid += [u] * len(found)
+                gram += found
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(stream, pa.binary()), pa.array(uid, pa.int64()), pa.array(gram, pa.binary())], names=["host", "stream", "uid", "gram"])
+
+    units = lambda df: df.select("host", "stream", "uid", "marked", "texts", "drops").mapInArrow(strings, "host string, stream binary, uid long, gram binary")
+    repeated = units(parsed).groupBy("host", "gram").agg(F.min("stream").alias("lo"), F.max("stream").alias("hi"), F.count("*").alias("n"))
+    repeated = cut(repeated.where("lo <> hi").select("host", "gram", "n"), "html-repeats")
+    free = parsed.where("not marked")
+    asked = cut(units(free).select("host", "uid", "gram"), "html-strings")
+    total = asked.count()
+    found = spread_join(asked, repeated.select("host", "gram"), ["host", "gram"], repeated, total) if total else asked
+    own = found.groupBy("uid").agg(F.collect_list("gram").alias("grams"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for marked, found, drops, grams in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
+                texts.append("\n".join(t for t, d in zip(found, drops) if not d) if marked else _without(found, drops, set(grams or ()), least))
+            yield _result(b.column(0), b.column(1), texts)
+
+    whole = parsed.where("marked").withColumn("grams", F.lit(None).cast("array<binary>"))
+    cols = ["page_id", "url", "marked", "texts", "drops", "grams"]
+    return whole.select(cols).union(free.join(own, "uid", "left").select(cols)).mapInArrow(finish, RESULT)
+
+
 def extract(pages: DataFrame, slice_pages: int = 4096, least: int = 8, broadcast_hosts: int = 50_000) -> DataFrame:
     """One row per page: page_id, url, text (empty if none), n_chars.
 
-    Pages move once, to their host's task; a host of over ``slice_pages`` pages is
-    dealt out in slices of about that many by hash of page_id, so no task holds a
-    large host. Its large hosts' list is broadcast up to ``broadcast_hosts`` rows,
+    Pages move once, to their host's task; pages of hosts of over ``slice_pages`` pages
+    go by ``large_hosts``, with the same result, so no task holds a large host. The
+    large hosts' list is broadcast up to ``broadcast_hosts`` rows,
     beyond that joined by a shuffle. Null html: empty text. Null url: a host of its
     own. Null page_id: kept as null. Repeated rows: one result each, and one page in
     the search for repeats. Empty table: no rows. Other columns are not read."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"), host.alias("host"))
     large = pages.select(host.alias("large")).groupBy("large").agg(F.count("*").alias("n")).where(F.col("n") > slice_pages)
-    large = large.select("large", F.ceil(F.col("n") / slice_pages).alias("slices"))
     n = large.limit(broadcast_hosts + 1).count()
-    rows = rows.join(F.broadcast(large) if n <= broadcast_hosts else large, F.col("host") == F.col("large"), "left") if n else rows.withColumn("slices", F.lit(1))
-    dealt = rows.select("page_id", "url", "html", "host", F.pmod(F.xxhash64("page_id"), F.coalesce("slices", F.lit(1)).cast("long")).alias("slice"))
-    dealt = dealt.repartition("host", "slice").sortWithinPartitions("host", "slice", "page_id", "html")
+    many = None
+    if n:
+        large = F.broadcast(large.select("large")) if n <= broadcast_hosts else large.select("large")
+        many = rows.join(large, F.col("host") == F.col("large"), "left_semi")
+        rows = rows.join(large, F.col("host") == F.col("large"), "left_anti")
+    dealt = rows.repartition("host").sortWithinPartitions("host", "page_id", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
@@ -228,11 +329,10 @@ def extract(pages: DataFrame, slice_pages: int = 4096, least: int = 8, broadcast
         def solve() -> Iterator[pa.RecordBatch]:
             texts = host_texts(bodies, least)
             for i in range(0, len(ids), 1000):
-                part = texts[i : i + 1000]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 1000], pa.int64()), pa.array(urls[i : i + 1000], pa.string()), pa.array(part, pa.string()), pa.array([len(t) for t in part], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                yield _result(ids[i : i + 1000], urls[i : i + 1000], texts[i : i + 1000])
 
         for b in batches:
-            for page_id, url, body, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), zip(b.column(3).to_pylist(), b.column(4).to_pylist())):
+            for page_id, url, body, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 if key != at and ids:
                     yield from solve()
                     ids, urls, bodies = [], [], []
@@ -241,4 +341,5 @@ def extract(pages: DataFrame, slice_pages: int = 4096, least: int = 8, broadcast
         if ids:
             yield from solve()
 
-    return dealt.mapInArrow(run, RESULT)
+    few = dealt.mapInArrow(run, RESULT)
+    return few.union(large_hosts(many, least)) if many is not None else few

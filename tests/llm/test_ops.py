@@ -278,3 +278,24 @@ def test_chat_templates_that_look_far_back(spark):
     assert len(chat.locate_turns(shortens, turns[:20])) == 20
     with pytest.raises(chat.RewritesHistory):
         chat.locate_turns(shortens, turns)
+
+
+def test_html_of_large_hosts_is_that_of_whole_hosts(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(400)}"
+    shared = [" ".join(word() for _ in range(n)) for n in (3, 5, 8, 9, 14, 30)]
+    rows = [(None, "http://a.org/n", "<p>x y</p>"), (1, "http://b.org/", None)]
+    for i in range(60):
+        parts = [" ".join(word() for _ in range(rng.randrange(1, 30))) for _ in range(4)] + rng.sample(shared, 2)
+        parts.append(" ".join(word() for _ in range(5)) + " " + shared[-1][: rng.randrange(20, 90)])
+        rng.shuffle(parts)
+        body = "".join(f"<p>{t}</p>" for t in parts) + ("<div class=ad>buy now</div>" if i % 3 else "")
+        rows.append((i, f"http://{'ab'[i % 7 == 0]}.org/{i}", f"<body><article>{body}</article><p>{shared[0]}</p>" if i % 5 == 0 else f"<body>{body}"))
+    rows += rows[10:14] + [(90, "http://a.org/90", rows[11][2])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    hosts = {}
+    for r in rows:
+        hosts.setdefault(html_text.host_of(r[1]), []).append(r)
+    want = sorted((str(p), u, t) for own in hosts.values() for (p, u, _), t in zip(own, html_text.host_texts([h or "" for *_, h in own])))
+    for most in (4096, 20, 1):
+        assert sorted((str(r.page_id), r.url, r.text) for r in html_text.extract(df, slice_pages=most).collect()) == want, most
