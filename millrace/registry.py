@@ -376,6 +376,23 @@ def rrf_hybrid(spark, d):
     return rag.hybrid(_hybrid_input(spark, d), _QV, "Idiot thing, idiot", 10, where=Eq("lang", "en"))
 
 
+_ALL_HYBRID = "documents JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings) WHERE lang = 'en'"
+
+
+@query(f"""WITH {_BM25},
+    v AS (SELECT doc_id AS eid, round(greatest(0.0, 1 - list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q)))), 6) AS score
+          FROM (SELECT doc_id, embedding::DOUBLE[] AS e, {_QL} AS q FROM {_ALL_HYBRID})),
+    r AS (SELECT eid, row_number() OVER (ORDER BY score, eid) AS rank FROM v QUALIFY rank <= 40
+          UNION ALL SELECT eid, row_number() OVER (ORDER BY score DESC, eid) AS rank FROM bm WHERE eid IN (SELECT doc_id FROM {_ALL_HYBRID}) QUALIFY rank <= 40)
+    SELECT eid, round(sum(1.0 / (60 + rank)), 9) AS score FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
+def rrf_hybrid_all(spark, d):
+    """Over all vectors: their number is the modulus."""
+    vectors = _vectors(spark, d)
+    n = vectors.agg(F.count("*").alias("n"))
+    docs = _documents(spark, d).crossJoin(F.broadcast(n)).withColumn("v", F.expr("eid % nullif(n, 0)")).drop("n")
+    return rag.hybrid(docs.join(vectors.select(F.col("eid").alias("v"), "embedding"), "v"), _QV, "Idiot thing, idiot", 10, where=Eq("lang", "en"))
+
+
 @query()
 def chunk(spark, d):
     return rag.chunk(_documents(spark, d), 400, 40).select("eid", "position", F.length("chunk").alias("chars"), F.sha2("chunk", 256).alias("sha256"))

@@ -234,3 +234,14 @@ def test_sql_nulls_desc_sorts_all_rows(spark, tmp_path):
     spark.createDataFrame(lines, cols).write.parquet(str(tmp_path / "lineitem.parquet"))
     q = sorted((int(x[4]) for x in lines if x[3] != 3), reverse=True)
     assert check_against_sql(spark, tmp_path, "sql_nulls_desc_all", ["lineitem"]) == [(40, sum(q[:40]))]
+
+
+def test_rrf_hybrid_ranks_all_vectors(spark, tmp_path):
+    rng = random.Random(7)
+    from millrace.registry import _QV
+
+    spark.createDataFrame([(i, rng.choice(["idiot", "thing", "sea"]) + " sun" * (i % 9), "en", "s", 9) for i in range(700)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    vectors = [(i, [float(x) for x in _QV] if i == 650 else [rng.uniform(-1, 1) for _ in range(64)], 1) for i in range(700)]
+    spark.createDataFrame(vectors, "vec_id int, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = check_against_sql(spark, tmp_path, "rrf_hybrid_all", ["documents", "embeddings"])
+    assert 650 in {eid for eid, _ in got}  # the nearest vector is not among the first 500
