@@ -251,6 +251,14 @@ def sql_or_replace(spark, d):
     return db.execute("SELECT id, name, segment FROM customer")
 
 
+@query(f"WITH {_C} SELECT id, name, CASE WHEN id = 7 THEN 'MOVED' ELSE segment END AS segment FROM c UNION ALL SELECT 99999999, 'new', 'X'")
+def sql_or_replace_all(spark, d):
+    """The merge into the whole table."""
+    db = _db(spark, d)
+    db.execute("INSERT OR REPLACE INTO customer (id, segment) VALUES (7, 'MOVED'); INSERT OR REPLACE INTO customer (id, name, segment) VALUES (99999999, 'new', 'X')")
+    return db.execute("SELECT id, name, segment FROM customer")
+
+
 @query(f"WITH {_O} SELECT id, CASE WHEN status = 'P' THEN 'pending' ELSE status END AS status FROM o WHERE NOT (customer < 100)")
 def sql_update_delete(spark, d):
     return _db(spark, d).execute("UPDATE orders SET status = 'pending', priority = NULL WHERE status = 'P'; DELETE FROM orders WHERE customer < 100; SELECT id, status FROM orders")
@@ -423,6 +431,11 @@ def seal_rows(spark, d):
     return store.seal(_orders(spark, d)).select("rows")
 
 
+@query()
+def seal_digest(spark, d):
+    return store.seal(_orders(spark, d))
+
+
 @query(f"WITH {_C} SELECT eid, nation * 4294967296 + id AS packed, nation AS peer, id AS local FROM c")
 def entity_ids(spark, d):
     e = fn.make_eid(F.col("nation"), F.col("id"))

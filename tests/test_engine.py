@@ -245,3 +245,26 @@ def test_rrf_hybrid_ranks_all_vectors(spark, tmp_path):
     spark.createDataFrame(vectors, "vec_id int, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = check_against_sql(spark, tmp_path, "rrf_hybrid_all", ["documents", "embeddings"])
     assert 650 in {eid for eid, _ in got}  # the nearest vector is not among the first 500
+
+
+def test_whole_merge_and_seal_digest(spark, tmp_path):
+    import datetime
+
+    import xxhash
+
+    from millrace.registry import QUERIES
+
+    people = [(i, f"c{i}", i % 25, "BUILDING") for i in range(1, 60)]
+    spark.createDataFrame(people, "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    orders = [(i, i % 7, "F" if i % 3 else None, "1-URGENT", f"1997-01-{i:02}") for i in range(1, 29)]
+    table = spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate string")
+    table.write.parquet(str(tmp_path / "orders.parquet"))
+    assert len(check_against_sql(spark, tmp_path, "sql_or_replace_all", ["customer"])) == 60
+    total = 0
+    for key, customer, status, priority, day in orders:
+        days = (datetime.date.fromisoformat(day) - datetime.date(1970, 1, 1)).days
+        h = 42
+        for x in (key.to_bytes(8, "little"), key.to_bytes(8, "little"), customer.to_bytes(8, "little"), status and status.encode(), priority.encode(), days.to_bytes(4, "little")):
+            h = h if x is None else xxhash.xxh64_intdigest(x, h)
+        total += h - (1 << 64) if h >> 63 else h
+    assert [tuple(r) for r in QUERIES["seal_digest"](spark, str(tmp_path)).collect()] == [(28, str(total))]
