@@ -47,6 +47,7 @@ def base_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, and w (the words). No shuffle.
 
+    A line counts in n_dup_lines when it has a word and an earlier line is equal.
     A word counts in n_repeat_words when any 3-word window over it is found twice or
     more in the text. Windows are compared by 64-bit hash; only texts that have equal
     windows sort them to find which positions those cover."""
@@ -58,7 +59,8 @@ def base_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     a = a.select("*", F.expr("if(again, array_sort(transform(h, (v, i) -> struct(v, i))), cast(array() as array<struct<v:bigint,i:int>>))").alias("s"))
     a = a.select("*", F.expr("array_sort(transform(filter(s, (e, k) -> e.v = get(s, k - 1).v or e.v = get(s, k + 1).v), e -> e.i))").alias("p"))
     repeat = F.expr("aggregate(p, struct(0L as n, -3 as last), (acc, i) -> struct(acc.n + least(3, i - acc.last) as n, i as last), acc -> acc.n)")
-    lines = F.expr(rf"filter(split(x, '\n'), l -> l rlike '[^{SPACE}]')")
+    # Columns, not SQL text: a SQL string would take the pattern's backslashes away.
+    lines = F.filter(F.split("x", "\n"), lambda line: line.rlike(f"[^{SPACE}]"))
     a = a.select("*", lines.alias("lines"), repeat.alias("n_repeat_words"))
     return a.select(
         "doc_id", "n_words", F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
@@ -83,7 +85,8 @@ def quality(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", tex
     literal of the second plan. Sums of integers: scores do not depend on order.
     Null text: as empty, which fails the base rules. Null id: kept as null. Repeated
     rows: one result each. No trusted row: all ratios are 0 and only the base rules
-    decide. Empty table: no rows. Other columns are not read."""
+    decide. Ties: a text at the threshold is kept. Very long texts: arrays of a few
+    numbers a word in one row. Empty table: no rows. Other columns are not read."""
     table = ratios(docs, trusted_ids, id_col, text_col, buckets).orderBy("bucket").collect()  # ``buckets`` rows
     weights = F.split(F.lit(",".join(str(r.weight) for r in table)), ",").cast("array<int>")  # folded to one literal
     a = base_features(docs, id_col, text_col).select("*", F.size("w").alias("n"))
