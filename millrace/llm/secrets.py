@@ -21,8 +21,17 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Class name, its members, and the entropy in bits a character that a window must reach.
 CLASSES = (("hex", re.compile(r"[0-9A-Fa-f]+\Z"), 3.0), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+\Z"), 3.8))
-#: Candidates that look random but are public: UUIDs, paths and slugs, placeholders, runs of one alphabet in order.
-ALLOWED = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z|(?:/?[A-Za-z_]+[/_-])+[A-Za-z_]*\Z|.*(?:example|placeholder|changeme|xxxx|abcdefgh|01234567|12345678)", re.I)
+#: Candidates that look random but are public: UUIDs; paths and slugs of plain words,
+#: numbers and words with a number, at least three; placeholders, runs of one alphabet in order.
+#: No separator can be part of a word, so a string of any length is matched in one pass.
+UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
+SLUG = re.compile(r"/?(?:[A-Za-z]{2,}[0-9]{0,2}|[0-9]{1,8})(?:[/_-](?:[A-Za-z]{2,}[0-9]{0,2}|[0-9]{1,8})){2,}/?")
+PLACEHOLDER = re.compile(r"example|placeholder|changeme|xxxx|abcdefgh|01234567|12345678", re.I)
+
+
+def allowed(s: str) -> bool:
+    """Whether the allow-list suppresses a candidate."""
+    return bool(UUID.fullmatch(s) or SLUG.fullmatch(s) or PLACEHOLDER.search(s))
 
 
 def max_window_entropy(s: str, width: int) -> float:
@@ -63,7 +72,7 @@ def random_looking(s: str, width: int = 20) -> bool:
         if members.match(s):
             if name == "base64" and (s.lower() == s or s.upper() == s):
                 return False
-            return max_window_entropy(s, width) >= bits and not ALLOWED.match(s)
+            return max_window_entropy(s, width) >= bits and not allowed(s)
     return False
 
 
@@ -98,7 +107,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
     Map only: whole texts stream through Arrow batches, nothing is shuffled.
     Null text: as empty (no spans, digest of the empty string). Null id: kept as null.
-    Repeated rows: one result each. Empty table: no rows. Other columns are not read."""
+    Repeated rows: one result each. Spans that start together: by kind as listed. Very
+    long texts: time in proportion to the length. Empty table: no rows. Other columns
+    are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
