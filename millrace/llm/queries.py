@@ -44,7 +44,7 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")], "conv_id long, turn long, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
-    return chat.digest_turns(chat.format_turns(rows))
+    return chat.digest_turns(chat.format_turns(rows, looks_back=0))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
