@@ -12,8 +12,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: At most so many labelled documents are used for the fit, and so many of their terms.
+#: At most so many labelled documents are used for the fit, so many megabytes of their
+#: hashed terms, and so many terms.
 FIT_ROWS = 12_000
+FIT_MB = 256
 FIT_TERMS = 200_000
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W_]+")
@@ -122,14 +124,15 @@ def fit(samples: list[tuple[int, np.ndarray]], factors: int = 4, epochs: int = 1
 
 
 def _terms(docs: DataFrame) -> DataFrame:
-    """(label, terms) of (label, text)."""
+    """(id, label, terms) of (id, label, text); terms are sorted 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_terms(t.as_py() or "", known) for t in b.column(1)], pa.list_(pa.int32()))], names=["label", "terms"])
+            terms = [np.array(text_terms(t.as_py() or "", known), np.int32).tobytes() for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(terms, pa.binary())], names=["id", "label", "terms"])
 
-    return docs.select("label", "text").mapInArrow(run, "label int, terms array<int>")
+    return docs.select("id", "label", "text").mapInArrow(run, "id long, label int, terms binary")
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -137,16 +140,24 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> FactorizationMachine:
-    """Fit on up to ``rows`` labelled documents by hash order, none of them held out.
-    The sample is bounded, so its ids are broadcast and its terms collected; an
-    unlabelled document is only read. Nulls among labels are left out; a document
-    labelled more than once is toxic if any label says so."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, megabytes: int = FIT_MB) -> FactorizationMachine:
+    """Fit on up to ``rows`` labelled documents by hash order, none of them held out,
+    as far as their terms go into ``megabytes``. The sample is bounded, so its ids are
+    broadcast and its terms collected; an unlabelled document is only read. Nulls among
+    labels are left out; a document labelled more than once is toxic if any label says
+    so; of rows with one id the least text counts."""
     own = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("_id"), "label")
-    picked = docs.join(F.broadcast(own), F.col("doc_id") == F.col("_id")).select("label", "text")
-    table = _terms(picked).toArrow()
-    return fit([(int(y > 0), np.asarray(t, np.int64)) for y, t in zip(table.column(0).to_pylist(), table.column(1).to_pylist())])
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce("text", F.lit("")).alias("text"))
+    picked = texts.join(F.broadcast(own), F.col("_doc") == F.col("_id")).groupBy("_id", "label").agg(F.min("text").alias("text"))
+    found = _terms(picked.withColumnRenamed("_id", "id"))
+    samples, left = [], megabytes << 20
+    for r in found.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").toLocalIterator():
+        left -= len(r.terms)
+        if left < 0:
+            break
+        samples.append((int(r.label > 0), np.frombuffer(r.terms, np.int32).astype(np.int64)))
+    return fit(samples)
 
 
 def scorer(docs: DataFrame, fm: FactorizationMachine):
@@ -180,7 +191,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold
     Map only after the fit. Only the text is an input of the score. Null text: as
     empty, which scores by the bias alone. Null id: not held out. No usable label,
     or labels of one kind: every score is that kind's. Repeated rows: one result
-    each. Empty table: no rows. Other columns are not read."""
+    each. Ties: a score at the threshold is predicted toxic. Very long texts: their
+    distinct words, once each. Empty table: no rows. Other columns, such as one named
+    label, are not read."""
     score = scorer(docs, train(docs, labels, rows))
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.round(score("text"), 6).alias("score"))
     return scored.select("*", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
