@@ -52,8 +52,10 @@ def mix(docs: DataFrame, weights: dict[str, float], default: float = 1.0, seed:
     of their key and are sorted by it there, which shuffles globally without
     sampling; a hot source is thinned before anything moves. Null id: hashed as the
     word null. Null source: a source of its own. Rows that repeat an id are drawn
-    alike. Null or empty text: moved like any other. Empty table: no rows. Columns
-    named replica or shuffle_key in the input are replaced."""
+    alike. Null or empty text, very long text: moved like any other. Equal shuffle keys:
+    of rows that repeat an id, in any order among themselves. Empty table: no rows.
+    Columns named replica or shuffle_key in the input are replaced; any other name may
+    be among the columns."""
     spark = docs.sparkSession
     per = rates(docs, weights, default, source_col, total)
     rows = per.limit(BROADCAST_SOURCES + 1).collect()  # bounded
@@ -63,10 +65,12 @@ def mix(docs: DataFrame, weights: dict[str, float], default: float = 1.0, seed:
     else:
         cdf = F.udf(poisson_cdf, "array<double>")
         table = per.select(F.col("source").alias("_source"), cdf("rate").alias("_cdf"))
-    mine = docs.drop("replica", "shuffle_key")
-    u = unit_interval(F.lit(seed), F.col(id_col))
-    drawn = mine.join(table, F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("_n", F.size(F.filter("_cdf", lambda c: c < u)))
-    copies = drawn.where("_n > 0").select(*(mine[c] for c in mine.columns), F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("replica"))
-    key = F.md5(F.concat_ws(":", F.lit("shuffle"), F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("replica")))
-    keyed = copies.withColumn("shuffle_key", key)
-    return keyed.repartition(F.xxhash64("shuffle_key")).sortWithinPartitions("shuffle_key")
+    # A row is one column until the end, so no name of its columns can clash.
+    packed = docs.drop("replica", "shuffle_key").select(F.struct("*").alias("_row"))
+    id_, source = F.col("_row").getField(id_col), F.col("_row").getField(source_col)
+    u = unit_interval(F.lit(seed), id_)
+    drawn = packed.join(table, source.eqNullSafe(F.col("_source"))).select("_row", F.size(F.filter("_cdf", lambda c: c < u)).alias("_n"))
+    copies = drawn.where("_n > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_replica"))
+    key = F.md5(F.concat_ws(":", F.lit("shuffle"), F.lit(seed), F.coalesce(id_.cast("string"), F.lit("null")), F.col("_replica")))
+    keyed = copies.select("_row", "_replica", key.alias("_key"))
+    return keyed.repartition(F.xxhash64("_key")).sortWithinPartitions("_key").select("_row.*", F.col("_replica").alias("replica"), F.col("_key").alias("shuffle_key"))
