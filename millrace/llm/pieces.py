@@ -12,6 +12,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
 MARK = "▁"
+_BYTES = re.compile("[\udc00-\udcff]+")
 _loaded: dict[str, PieceCoder] = {}
 
 
@@ -65,6 +66,8 @@ class PieceCoder:
                 self.pieces[p] = i
                 self.text_of.append(p.replace(MARK, " "))
         self.score = {p: sp.get_score(i) for p, i in self.pieces.items()}
+        # By an id in decimal: its text; a byte is a lone surrogate until its run is complete.
+        self.shown = {str(i): chr(0xDC00 + t) if isinstance(t, int) else t for i, t in enumerate(self.text_of)}
         numeric = "\u00b2\u00b3\u00b9\u00bc-\u00be\u2070-\u209f"  # not letters, though Python's \\w has them and \\d has not
         self.unit = re.compile(rf"{MARK}*[^\W\d_{numeric}]+|{MARK}*\d|{MARK}*(?:[^\w{MARK}\n]|[_{numeric}])+|{MARK}+|\n")
         crossing = [p for p in self.pieces if len(self.unit.findall(p)) > 1]
@@ -124,37 +127,27 @@ class PieceCoder:
             offer(prev[i], i), offer(i, k)
         return [s for s in sym if s]
 
-    def decode(self, ids) -> str:
-        """The text of ids, the dummy prefix's space still in front."""
-        out: list[str] = []
-        run = bytearray()
-        for i in ids:
-            t = self.text_of[i]
-            if isinstance(t, int):
-                run.append(t)
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run = bytearray()
-            out.append(t)
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        return "".join(out)
+    def decode(self, ids: str) -> str:
+        """The text of comma-joined ids, the dummy prefix's space still in front: pieces
+        with spaces for marks, runs of byte ids as the UTF-8 they are."""
+        if not ids:
+            return ""
+        text = "".join(map(self.shown.__getitem__, ids.split(",")))
+        return _BYTES.sub(lambda m: bytes(ord(c) - 0xDC00 for c in m[0]).decode("utf-8", "replace"), text)
 
     def check(self) -> None:
         """Compare what was coded since the last check with the library, in one batch
-        call, and its decoding with the unit it came from."""
+        call."""
         fresh, self.units.fresh = self.units.fresh, []
         lead = self.agenda(MARK) + self.agenda("\n")
         marked = [u[0] == MARK and len(u) > 1 for u, _ in fresh]
         theirs = self.sp.encode([u[1:].replace(MARK, " ") if m else "\n" + u.replace(MARK, " ") for (u, _), m in zip(fresh, marked)], num_threads=1)
         for (u, own), m, ids in zip(fresh, marked, theirs):
-            if ids != (own if m else lead + own) or self.decode(own) != u.replace(MARK, " "):
+            if ids != (own if m else lead + own):
                 raise AssertionError(f"the agenda and the library differ on {u[:80]!r}")
 
     def coded(self, texts: list[str]) -> list[tuple[str, str]]:
-        """For each text its ids, comma-joined, and their decoding. Every unit decodes
-        to itself, which ``check`` makes sure of once for each."""
+        """For each text its ids, comma-joined, and the text that those ids decode to."""
         if len(self.units) > self.remember:
             self.units.clear()
         if len(self.words) > self.remember:
@@ -168,7 +161,7 @@ class PieceCoder:
                 coded = ",".join(map(self.units.__getitem__, self.unit.findall(MARK + t.replace(" ", MARK))))
             else:
                 coded = ",".join(map(ids, t.split(" ")))
-            out.append((coded, t.replace(MARK, " ")))
+            out.append((coded, self.decode(coded)[1:]))
         self.check()
         return out
 
@@ -191,10 +184,11 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     decoded text, and with ``with_ids`` also ids and decoded themselves.
 
     Map only. Every distinct unit of a batch is checked against the library when
-    first coded, and one whole text a batch besides. A batch is taken in slices of
-    ``slice_chars`` characters (one longer text is a slice of its own). Null text:
-    as empty (no ids). Null id: kept as null. Repeated rows: one result each. Empty
-    table: no rows. Other columns are not read. ``model`` is a path on every host."""
+    first coded, and one whole text a batch besides. The decoded text of every document
+    is made from its ids. A batch is taken in slices of
+    ``slice_chars`` characters (one longer text is a slice of its own). Equal scores:
+    the leftmost pair is merged. Null text: as empty (no ids). Null id: kept as null.
+    Repeated rows: one result each. Empty table: no rows. Other columns are not read. ``model`` is a path on every host."""
     schema = SCHEMA + (", ids array<int>, decoded string" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
