@@ -47,9 +47,11 @@ def chunks(data: bytes, mean: int = 2048, least: int = 512, most: int = 16384) -
     return out
 
 
-def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64) -> DataFrame:
     """(doc_id, n_bytes, text_sha256, keys, digests): for each text, in order, every
-    chunk's 64-bit key and its SHA-256. Texts stay where they are read."""
+    chunk's 64-bit key and its SHA-256. Texts stay where they are read. Fewer
+    ``key_bits`` make keys clash, for tests."""
+    mask = (1 << key_bits) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -59,7 +61,7 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 view, at, k, d = memoryview(data), 0, [], []
                 for end in chunks(data):
                     part = view[at:end]
-                    k.append(xxhash.xxh3_64_intdigest(part) - (1 << 63))
+                    k.append((xxhash.xxh3_64_intdigest(part) & mask) - (1 << 63))
                     d.append(hashlib.sha256(part).digest())
                     at = end
                 size.append(len(data)), keys.append(k), digests.append(d), sha.append(hashlib.sha256(data).hexdigest())
@@ -68,7 +70,7 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, text_sha256 string, keys array<long>, digests array<binary>")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     1. Each text becomes a recipe, its ordered chunk keys; only keys and digests
@@ -79,10 +81,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     3. Ordered identifier lists are compared: equal lists are equal texts.
 
     Counts are combined before the shuffle, so copies of one text are one row from
-    each task, and a group of very many copies is answered by many tasks. Null text: as empty. Null id: takes part, is never keep_id unless all
-    ids of the group are null. Repeated rows (an id more than once): one result
-    each, all alike. Empty table: no rows. Other columns are not read."""
-    own = cut(recipes(docs, id_col, text_col), "recipes")
+    each task, and a group of very many copies is answered by many tasks. Null text:
+    as empty. Null id: takes part, is never keep_id unless all ids of the group are
+    null. Repeated rows (an id more than once): one result each, all alike. Very long
+    texts: some forty bytes a chunk. Empty table: no rows. Other columns are not read."""
+    own = cut(recipes(docs, id_col, text_col, key_bits), "recipes")
     pairs = own.select(F.explode(F.arrays_zip("keys", "digests")).alias("c")).select(F.col("c.keys").alias("key"), F.col("c.digests").alias("digest"))
     # A row for each distinct chunk, then for each key; keys of one digest need no more.
     clash = pairs.distinct().groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -90,7 +93,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if clash.isEmpty():
         lists = own.withColumn("ids", F.col("keys").cast("array<string>"))
     else:
-        each = own.select("doc_id", "text_sha256", F.monotonically_increasing_id().alias("row"), "n_bytes", F.posexplode_outer(F.arrays_zip("keys", "digests")).alias("i", "c")).join(clash.withColumnRenamed("key", "k"), F.col("c.keys") == F.col("k"), "left")
+        # The number is given before the chunks are unfolded, or each chunk had its own.
+        numbered = own.withColumn("row", F.monotonically_increasing_id())
+        each = numbered.select("doc_id", "text_sha256", "row", "n_bytes", F.posexplode_outer(F.arrays_zip("keys", "digests")).alias("i", "c")).join(clash.withColumnRenamed("key", "k"), F.col("c.keys") == F.col("k"), "left")
         name = F.when(F.col("k").isNull(), F.col("c.keys").cast("string")).otherwise(F.concat_ws(":", F.col("c.keys"), F.hex("c.digests")))
         lists = each.groupBy("row", "doc_id", "text_sha256", "n_bytes").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", name.alias("id"))))), lambda x: x["id"]).alias("ids"))
     lists = cut(lists.select("doc_id", "text_sha256", "n_bytes", "ids", F.xxhash64("ids", "n_bytes").alias("h")), "recipe-lists")
