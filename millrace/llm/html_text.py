@@ -23,7 +23,9 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "related", "reply", "respond", "share", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "note"}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)""", re.S)
+_OPEN = re.compile(r"<(?:!--|/?[A-Za-z]|[!?/])")
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_STOP = re.compile(r"""[>"']""")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
@@ -45,12 +47,60 @@ def _is_chrome(tag: str, attrs: str, in_main: bool) -> bool:
     return False
 
 
+class Tags:
+    """The tags of a page from left to right, each character looked at a bounded number
+    of times: the places of the next closing quotes and comment ends are kept until the
+    reading passes them, so an end that never comes is looked for once."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.next = {q: -2 for q in ('"', "'", "-->", ">")}  # -2: not looked for yet
+
+    def _find(self, what: str, at: int) -> int:
+        """Where ``what`` next stands, or the page's length."""
+        if self.next[what] < at:
+            p = self.page.find(what, at)
+            self.next[what] = len(self.page) if p < 0 else p
+        return self.next[what]
+
+    def _end(self, at: int) -> int:
+        """The > that ends a tag, quoted parts passed over; without one, the next >."""
+        first = at
+        while m := _STOP.search(self.page, at):
+            if m[0] == ">":
+                return m.start()
+            close = self._find(m[0], m.end())
+            if close == len(self.page):
+                return self._find(">", first)
+            at = close + 1
+        return self._find(">", first)
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """The next tag: where it begins and ends, whether it closes, its name (none for
+        comments and declarations) and attributes. A < that begins no tag is text."""
+        page, n = self.page, len(self.page)
+        m = _OPEN.search(page, at)
+        if not m:
+            return None
+        if m[0] == "<!--":
+            return m.start(), min(self._find("-->", m.end()) + 3, n), False, "", ""
+        closes = m[0][1] == "/"
+        name = _NAME.match(page, m.start() + 1 + closes)
+        if not name:
+            return m.start(), min(self._find(">", m.end()) + 1, n), False, "", ""
+        end = self._end(name.end())
+        if end == n:  # a page that ends within a tag
+            return m.start(), n, False, "", ""
+        return m.start(), end + 1, closes, name[0].lower(), page[name.end() : end]
+
+
 def blocks(page: str) -> tuple[list[tuple[str, bool]], bool]:
     """(block text, whether it is furniture or outside the main part) in page order,
     and whether the page marks a main part (article or main). Tags are read leniently:
     an end tag closes the nearest open element of its name, others are ignored."""
     out: list[tuple[str, bool]] = []
     open_: list[tuple[str, bool, bool]] = []  # name, furniture from here on, main from here on
+    depth: dict[str, int] = {}  # how many of a name are open
     part: list[str] = []
     marked = any(t in page for t in ("<article", "<main", "<ARTICLE", "<MAIN"))
 
@@ -62,20 +112,20 @@ def blocks(page: str) -> tuple[list[tuple[str, bool]], bool]:
                 drop, main = (open_[-1][1], open_[-1][2]) if open_ else (False, False)
                 out.append((" ".join(words), drop or marked and not main))
 
-    at, n = 0, len(page)
+    at, n, tags = 0, len(page), Tags(page)
     while at < n:
-        m = _TAG.search(page, at)
+        m = tags.after(at)
         if not m:
             part.append(page[at:])
             break
-        if m.start() > at:
-            part.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        begin, end_, closes, tag, attrs = m
+        if begin > at:
+            part.append(page[at:begin])
+        at = end_
+        if not tag:
             continue
-        tag = m[2].lower()
-        if tag in RAW and not m[1]:
-            if not m[3].rstrip().endswith("/"):
+        if tag in RAW and not closes:
+            if not attrs.rstrip().endswith("/"):
                 end = _CLOSE[tag].search(page, at)
                 gt = page.find(">", end.end()) if end else -1
                 at = n if gt < 0 else gt + 1
@@ -88,19 +138,22 @@ def blocks(page: str) -> tuple[list[tuple[str, bool]], bool]:
             flush()
         if tag in VOID or tag not in BLOCK and tag not in ("span", "a", "i", "b", "em", "strong", "small", "label", "ins"):
             continue
-        if not m[1]:
+        if not closes:
             drop, main = (open_[-1][1], open_[-1][2]) if open_ else (False, False)
             inside = True if main else (None if tag in MAIN else False)
-            furniture = _is_chrome(tag, m[3], inside)
+            furniture = _is_chrome(tag, attrs, inside)
             if tag in BLOCK and tag not in ("p", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody") or furniture:
                 if furniture and not drop:
                     flush()
                 open_.append((tag, drop or furniture, main or tag in MAIN))
-        else:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == tag:
-                    flush() if open_[-1][1] else None
-                    del open_[i:]
+                depth[tag] = depth.get(tag, 0) + 1
+        elif depth.get(tag):
+            if open_[-1][1]:
+                flush()
+            while True:
+                name = open_.pop()[0]
+                depth[name] -= 1
+                if name == tag:
                     break
     flush()
     return out, marked
@@ -300,18 +353,20 @@ def large_hosts(rows: DataFrame, least: int = 8) -> DataFrame:
     return whole.select(cols).union(free.join(own, "uid", "left").select(cols)).mapInArrow(finish, RESULT)
 
 
-def extract(pages: DataFrame, slice_pages: int = 4096, least: int = 8, broadcast_hosts: int = 50_000) -> DataFrame:
+def extract(pages: DataFrame, slice_pages: int = 512, slice_mb: int = 32, least: int = 8, broadcast_hosts: int = 50_000) -> DataFrame:
     """One row per page: page_id, url, text (empty if none), n_chars.
 
     Pages move once, to their host's task; pages of hosts of over ``slice_pages`` pages
-    go by ``large_hosts``, with the same result, so no task holds a large host. The
+    or ``slice_mb`` megabytes go by ``large_hosts``, with the same result, so no task
+    holds a large host; of a very long page, a task holds that page. The
     large hosts' list is broadcast up to ``broadcast_hosts`` rows,
     beyond that joined by a shuffle. Null html: empty text. Null url: a host of its
     own. Null page_id: kept as null. Repeated rows: one result each, and one page in
     the search for repeats. Empty table: no rows. Other columns are not read."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"), host.alias("host"))
-    large = pages.select(host.alias("large")).groupBy("large").agg(F.count("*").alias("n")).where(F.col("n") > slice_pages)
+    sizes = pages.select(host.alias("large"), F.octet_length("html").alias("size")).groupBy("large").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    large = sizes.where((F.col("n") > slice_pages) | (F.col("size") > slice_mb << 20))
     n = large.limit(broadcast_hosts + 1).count()
     many = None
     if n:
