@@ -494,5 +494,5 @@ def test_html_of_large_hosts_is_that_of_whole_hosts(spark):
         assert sorted((str(r.page_id), str(r.url), r.text) for r in html_text.extract(df, slice_pages=most).collect()) == want, most
     assert sorted((str(r.page_id), str(r.url), r.text) for r in html_text.extract(df, slice_mb=0).collect()) == want
     off = {(str(r.page_id), r.text) for r in html_text.extract(df, least=10**6).collect()}
-    assert len(off - {(p, t) for p, _, t in want}) > 40  # without the search for repeats, most pages keep more
+    assert len(off - {(p, t) for p, _, t in want}) > 30  # without the search for repeats, most pages keep more
     assert html_text.extract(df.limit(0)).count() == 0
