@@ -2,32 +2,71 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import blob_id
-from ..types import BadValue
+from ..types import BadValue, EngineError
 
 _own: str | None = None
+_folders: dict[str, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, which driver and executors share; a
-    temporary folder only where that is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session, which driver and executors share. Where
+    it is unset, a temporary folder on a local master, as in tests; on a cluster, where
+    no other host could read that, a refusal."""
     global _own
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise EngineError("spark.checkpoint.dir is not set: intermediate tables need a folder that all hosts share")
     _own = _own or tempfile.mkdtemp(prefix="millrace-")
     return _own
 
 
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write to the shared folder and read again, which ends the lineage."""
-    path = f"{shared_dir(df.sparkSession)}/millrace/{what}-{uuid.uuid4().hex}"
+def _deleter(spark: SparkSession, path: str) -> Callable[[], None]:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return lambda: files.delete(at, True)
+
+
+def _clean() -> None:
+    """At the end of the program: what it wrote. A session that is gone leaves its folder."""
+    for delete in _folders.values():
+        with contextlib.suppress(Exception):
+            delete()
+
+
+def cut_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """A table as ``cut`` gives it, and the path it was written to."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        if not _folders:
+            atexit.register(_clean)
+        _folders[folder] = _deleter(spark, folder)
+    path = f"{folder}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame, what: str) -> DataFrame:
+    """Write to the shared folder and read again, which ends the lineage: an executor
+    that is lost later costs no recomputation, and a plan that uses the table twice
+    computes it once. The folder goes when the program ends."""
+    return cut_at(df, what)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``cut_at`` that nothing will read again."""
+    _deleter(spark, path)()
 
 
 def open_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
