@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import cut, spread_join, utf8
+from .shared import bitmap_of, cut, in_bitmap, spread_join, utf8
 
 _B = 0x9E3779B97F4A7C15 | 1
 _POS = 20
@@ -72,7 +72,7 @@ def _contexts(data: bytes, length: int, k: int, bitmap: np.ndarray | None):
     hash, first and last window, all as arrays."""
     gram, at, first, last = anchors(data, length, k)
     if bitmap is not None:
-        use = _has(bitmap, gram)
+        use = in_bitmap(bitmap, gram)
         gram, first, last = gram[use], first[use], last[use]
     view = memoryview(data)
     ctx = np.array([xxhash.xxh3_64_intdigest(view[a : b + length]) for a, b in zip(first.tolist(), last.tolist())], np.uint64)
@@ -111,21 +111,6 @@ def _occurrences(length: int, k: int, shared=None):
     return run
 
 
-def _bits(df: DataFrame, column: str, bits: int = 26) -> np.ndarray:
-    """A bitmap of 2**bits bits of the hashes in a long column, gathered as at most
-    2**(bits - 6) words, whatever the number of rows."""
-    low = df.select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias("low"))
-    words = low.selectExpr("low >> 6 as i", "shiftleft(1L, cast(low & 63 as int)) as b").groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
-    return out
-
-
-def _has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    low = h.astype(np.uint64) & np.uint64(len(bitmap) * 64 - 1)
-    return (bitmap[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) > 0
-
-
 def _flagged_contexts(length: int, k: int, shared):
     """mapInArrow from text: the bytes around each anchor whose gram is flagged, to
     the left (reversed) and to the right of the gram. A context once for a task."""
@@ -138,7 +123,7 @@ def _flagged_contexts(length: int, k: int, shared):
             for t in b.column(0):
                 data = t.as_py()
                 gram, at, first, last = anchors(data, length, k)
-                for i in np.flatnonzero(_has(bitmap, gram)).tolist() if len(gram) else ():
+                for i in np.flatnonzero(in_bitmap(bitmap, gram)).tolist() if len(gram) else ():
                     g, p, f, e = int(gram[i]), int(at[i]), int(first[i]), int(last[i])
                     h = xxhash.xxh3_64_intdigest(data[f : e + length])
                     if (g, h) in seen:
@@ -237,7 +222,7 @@ def _hot_windows(length: int, k: int, shared):
                 data = t.as_py()
                 gram, _, first, last = anchors(data, length, k)
                 view, cols = memoryview(data), [[], [], [], []]
-                for i in np.flatnonzero(_has(bitmap, gram)).tolist() if len(gram) else ():
+                for i in np.flatnonzero(in_bitmap(bitmap, gram)).tolist() if len(gram) else ():
                     g, f, e = int(gram[i]), int(first[i]), int(last[i])
                     h = xxhash.xxh3_64_intdigest(view[f : e + length])
                     if (g, h) in seen:
@@ -330,7 +315,7 @@ def _with_text(shared):
             for t in b.column(1):
                 x = t.as_py()
                 u, v = _text_id(x)
-                flag = bool(_has(bitmap, np.array([v]).astype(np.int64).view(np.uint64))[0])
+                flag = bool(in_bitmap(bitmap, np.array([v]).astype(np.int64).view(np.uint64))[0])
                 t1.append(u), t2.append(v), size.append(len(x)), data.append(x if flag else None), sha.append(hashlib.sha256(x).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(size, pa.int64()), pa.array(data, pa.binary()), pa.array(sha, pa.string())], names=["doc_id", "t1", "t2", "n_bytes", "text", "sha"])
 
@@ -386,15 +371,15 @@ def repeated_spans(texts: DataFrame, length: int = 200, gram: int = 64, batch: i
     spark = texts.sparkSession
     grams = texts.mapInArrow(_occurrences(length, gram), _OCCUR).groupBy("gram").agg(F.count("*").alias("n"), (F.min("ctx") != F.max("ctx")).alias("multi")).where("n > 1")
     grams = cut(grams, "repeats-grams")
-    again = spark.sparkContext.broadcast(_bits(grams, "gram"))
+    again = spark.sparkContext.broadcast(bitmap_of(grams, "gram"))
     near = cut(texts.mapInArrow(_occurrences(length, gram, again), _OCCUR), "repeats-near")
     occ = cut(spread_join(near, grams.select("gram", "multi"), ["gram"], grams.select("gram", "n"), near.count()), "repeats-found")
     whole = occ.where("not multi").select("t1", "t2", F.col("first").alias("lo"), (F.col("last") + length).alias("hi"))
     mixed = occ.where("multi").select("gram", "ctx", "t1", "t2", "first", "last")
     counts = cut(mixed.groupBy("gram", "ctx").agg(F.count("*").alias("n")), "repeats-contexts")
     # Either way is exact, so a gram that only shares its bit with a hot one may go that way.
-    hot = _bits(counts.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > batch), "gram")
-    flagged = spark.sparkContext.broadcast(_bits(grams.where("multi"), "gram") & ~hot)
+    hot = bitmap_of(counts.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > batch), "gram")
+    flagged = spark.sparkContext.broadcast(bitmap_of(grams.where("multi"), "gram") & ~hot)
     contexts = texts.mapInArrow(_flagged_contexts(length, gram, flagged), "gram long, ctx long, lo int, hi int, left binary, right binary")
     shared = contexts.repartition("gram").sortWithinPartitions("gram", "ctx").mapInArrow(_shared(length, gram, batch), _SHARED)
     if hot.any():
@@ -417,7 +402,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
     spans = cut(repeated_spans(rows.select("text"), length, gram, batch), "repeats-spans")
     # Texts that a removal leaves something of are needed once more; the others are not moved.
-    flags = spark.sparkContext.broadcast(_bits(spans, "t2"))
+    flags = spark.sparkContext.broadcast(bitmap_of(spans, "t2"))
     each = rows.mapInArrow(_with_text(flags), "doc_id long, t1 long, t2 long, n_bytes long, text binary, sha string")
     joined = each.join(spans, ["t1", "t2"], "left").select("doc_id", "n_bytes", "text", "sha", "spans")
     return joined.mapInArrow(_removed(with_text), RESULT + (", kept binary" if with_text else ""))

@@ -2,48 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+import numpy as np
+from pyspark.sql import DataFrame, functions as F
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from ..sources.store import cut, cut_at, discard, shared_dir
 
 #: ASCII white space of the word definition, as a Java or Python character class body.
 SPACE = r"\x20\x09-\x0D"
 
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session; only where that is unset (tests, one machine) a temporary folder."""
-    global _own_dir
-    if path := spark.conf.get("spark.checkpoint.dir", None):
-        return path.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="millrace-")
-    return _own_dir
-
-
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write a table to the shared folder and read it again, which ends its lineage:
-    an executor that is lost later costs no recomputation, and a plan that uses the
-    table twice computes it once."""
-    path = f"{shared_dir(df.sparkSession)}/millrace/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
-    """A mapInArrow function from one over single batches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield fn(b)
-
-    return run
+__all__ = ["PIECES", "SPACE", "bitmap_of", "components", "cut", "in_bitmap", "shared_dir", "spread_join", "utf8"]
 
 
 def utf8(column: str = "text") -> F.Column:
@@ -71,27 +38,50 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], counts: DataF
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
+def bitmap_of(df: DataFrame, column: str, bits: int = 26) -> np.ndarray:
+    """A bitmap of 2**bits bits of the hashes in a long column, gathered as at most
+    2**(bits - 6) words, whatever the number of rows."""
+    low = df.select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias("low"))
+    words = low.selectExpr("low >> 6 as i", "shiftleft(1L, cast(low & 63 as int)) as b").groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    low = h.astype(np.uint64) & np.uint64(len(bitmap) * 64 - 1)
+    return (bitmap[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) > 0
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable over ``edges`` (a, b: long).
 
     Alternating large-star and small-star steps. Every step is a map-side combined
-    minimum for each node and an equi-join, so a node with very many links is no
-    task's burden; links never leave the executors. Nodes without links have no
-    row."""
+    minimum for each node and an equi-join that deals a node of very many links over
+    many tasks; links never leave the executors. A round's tables go when the next is
+    written. Nodes without links have no row."""
     spark = edges.sparkSession
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+
+    def with_least(rows: DataFrame, total: int) -> tuple[DataFrame, str]:
+        """Each row (a, b) with m, the least b of its a."""
+        each, path = cut_at(rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+        return spread_join(rows, each.select("a", "m"), ["a"], each.select("a", "n"), total), path
+
+    now, at = cut_at(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = mark(now)
     if not before[0]:
         return spark.createDataFrame([], "node long, root long")
     for _ in range(rounds):
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
-        now = cut(small, "links")
-        after = mark(now)
+        both, p = with_least(now.union(now.select("b", "a")), 2 * before[0])
+        star = both.select("a", "b", F.least("a", "m").alias("m")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large, q = cut_at(star, "stars")
+        small, r = with_least(large, before[0])
+        new = small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
+        now, done = cut_at(new, "links")
+        for path in (at, p, q, r):
+            discard(spark, path)
+        at, after = done, mark(now)
         if after == before:
             break
         before = after

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -10,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import components, cut, utf8
+from .shared import bitmap_of, components, cut, in_bitmap, spread_join, utf8
 
 LOW = 0x5555555555555555
 _BITS = np.arange(64, dtype=np.uint64)
@@ -38,17 +40,15 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42, block: int = 1 <<
     return int(((counts * 2 > n).astype(np.uint64) << _BITS).sum(dtype=np.uint64))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp) and the columns ``carry``: fp is the fingerprint's 64 bits as a signed long."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"), *carry)
-    names = ["doc_id", "fp", *carry]
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)]))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def popcounts(fp: F.Column) -> F.Column:
@@ -80,7 +80,7 @@ def band_masks(bands: int, distance: int) -> list[int]:
     return [sum(of[i] for i in keep) for keep in combinations(range(bands), bands - distance)]
 
 
-def _forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def _bfs_forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among distinct fingerprints: breadth first, each
     point compared once with the points not reached yet."""
     counts = _np_popcounts(fp)
@@ -94,9 +94,9 @@ def _forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
         i = queue.pop()
         if not len(left):
             break
-        near = np.flatnonzero(manhattan(counts[left], counts[i]) <= distance)
+        near = np.flatnonzero(_l1(counts[left], counts[i]) <= distance)
         if len(near):
-            ok = np.bitwise_count(fp[left[near]] ^ fp[i]) <= distance
+            ok = _hamming(fp[left[near]], fp[i]) <= distance
             found = left[near[ok]]
             a.append(np.full(len(found), i)), b.append(found)
             queue += found.tolist()
@@ -105,86 +105,159 @@ def _forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-_LINKS = "a long, b long, cell binary, block binary"
+def _nearest_forest(fp: np.ndarray, size: np.ndarray, distance: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs within ``distance`` whose set sizes allow the
+    similarity ``ratio``, of the shortest links: each point is tied to the nearest of
+    those before it, which is the likeliest to be verified."""
+    left = np.arange(len(fp))
+    best, by = np.full(len(fp), 1 << 20), np.full(len(fp), -1)
+    a, b = [], []
+    while len(left):
+        k = int(np.argmin(best))
+        j = int(left[k])
+        if best[k] <= distance:
+            a.append(int(by[k])), b.append(j)
+        left[k], best[k], by[k] = left[-1], best[-1], by[-1]
+        left, best, by = left[:-1], best[:-1], by[:-1]
+        far = _hamming(fp[left], fp[j])
+        nearer = (far < best) & (np.minimum(size[left], size[j]) >= ratio * np.maximum(size[left], size[j]))
+        best[nearer], by[nearer] = far[nearer], j
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _join_cells(distance: int, small: int, block: int):
-    """mapInArrow over rows sorted by cell: links (a, b) among a cell's points. Cells
-    of up to ``small`` points in one vectorized sweep over the whole batch, larger
-    ones by a forest; a cell of more than ``block`` points leaves as blocks of that
-    many, whose pairs other tasks compare. Memory: one batch and one block."""
+def _l1(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return manhattan(a, b).sum(-1, dtype=np.int64)
 
-    def rows(a=(), b=(), cell=None, blocks=()):
-        n = len(a)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.asarray(a, np.uint64).view(np.int64)), pa.array(np.asarray(b, np.uint64).view(np.int64)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
-            if cell is None
-            else [pa.nulls(len(blocks), pa.int64()), pa.nulls(len(blocks), pa.int64()), pa.array([cell] * len(blocks), pa.binary()), pa.array(blocks, pa.binary())],
-            names=["a", "b", "cell", "block"],
-        )
-
-    def whole(mask: np.ndarray, cell: np.ndarray, fp: np.ndarray):
+
+def _hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
+class _Cells:
+    """mapInArrow over rows sorted by cell: links (a, b) among a cell's points. Cells of
+    up to ``small`` points are taken in one vectorized sweep over the whole batch, larger
+    ones by a forest; a cell of more than ``block`` points leaves as blocks of that many,
+    whose pairs other tasks compare. Memory: one batch and one block.
+
+    Rows are (mask, cell, words of the fingerprint), the point being its only word, or
+    with a ``ratio`` (mask, cell, point, size of its set, words)."""
+
+    SCHEMA = "a long, b long, cell binary, k int, block binary"
+
+    def __init__(self, distance: int, small: int, block: int, ratio: float | None = None):
+        self.distance, self.small, self.block, self.ratio = distance, small, block, ratio
+
+    def _points(self, data: np.ndarray):
+        """Names, fingerprints and set sizes of rows of numbers."""
+        if self.ratio is None:
+            return data[:, 0], data.view(np.uint64), None
+        return data[:, 0], np.ascontiguousarray(data[:, 2:]).view(np.uint64), data[:, 1]
+
+    def _forest(self, fp: np.ndarray, size: np.ndarray | None):
+        return _bfs_forest(fp, self.distance) if size is None else _nearest_forest(fp, size, self.distance, self.ratio)
+
+    def _whole(self, key: np.ndarray, data: np.ndarray):
         """Links of complete cells."""
-        change = np.flatnonzero((mask[1:] != mask[:-1]) | (cell[1:] != cell[:-1])) + 1
-        start = np.concatenate(([0], change))
-        length = np.diff(np.concatenate((start, [len(fp)])))
-        size = np.repeat(length, length)
-        place = np.arange(len(fp)) - np.repeat(start, length)
+        start = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1))
+        length = np.diff(np.concatenate((start, [len(key)])))
+        many = np.repeat(length, length)
+        place = np.arange(len(key)) - np.repeat(start, length)
+        name, fp, size = self._points(data)
         counts = _np_popcounts(fp)
-        for d in range(1, small):
-            i = np.flatnonzero((size <= small) & (place + d < size))
-            if not len(i):
+        pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        at = np.flatnonzero(many <= self.small)
+        for d in range(1, self.small):
+            at = at[place[at] + d < many[at]]
+            if not len(at):
                 break
-            i = i[manhattan(counts[i], counts[i + d]) <= distance]
-            i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= distance]
+            i = at[_l1(counts[at], counts[at + d]) <= self.distance]
+            i = i[_hamming(fp[i], fp[i + d]) <= self.distance]
+            if size is not None:
+                i = i[np.minimum(size[i], size[i + d]) >= self.ratio * np.maximum(size[i], size[i + d])]
             if len(i):
-                yield rows(fp[i], fp[i + d])
-        for s, n in zip(start[length > small].tolist(), length[length > small].tolist()):
-            part = fp[s : s + n]
-            x, y = _forest(part, distance)
-            if len(x):
-                yield rows(part[x], part[y])
+                pairs.append((i, i + d))
+        i, j = (np.concatenate(x) for x in zip(*pairs))
+        cell_of = np.repeat(np.arange(len(start)), length)
+        crowded = np.bincount(cell_of[i], minlength=len(start)) > 4 * length
+        keep = ~crowded[cell_of[i]]
+        yield name[i[keep]], name[j[keep]]
+        for c in np.flatnonzero(crowded | (length > self.small)).tolist():
+            part = slice(start[c], start[c] + length[c])
+            x, y = self._forest(fp[part], None if size is None else size[part])
+            yield name[part][x], name[part][y]
+
+    @staticmethod
+    def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        n = len(a)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["a", "b", "cell", "k", "block"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, t) for t in (np.int32, np.int64, np.uint64)]
-        hot = None
+    @staticmethod
+    def _block(key: np.ndarray, k: int, data: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([key.tobytes()], pa.binary()), pa.array([k], pa.int32()), pa.array([np.ascontiguousarray(data).tobytes()], pa.binary())], names=["a", "b", "cell", "k", "block"])
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, data, hot, k = None, None, None, 0
         for b in batches:
-            new = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)]
-            mask, cell, fp = (np.concatenate(x) for x in zip(rest, new))
-            if not len(fp):
+            new = np.stack([c.to_numpy().astype(np.int64) for c in b.columns], 1)
+            key = new[:, :2] if key is None else np.concatenate((key, new[:, :2]))
+            data = new[:, 2:] if data is None else np.concatenate((data, new[:, 2:]))
+            if not len(key):
                 continue
-            last = int(np.flatnonzero((mask != mask[-1]) | (cell != cell[-1]))[-1]) + 1 if (mask[0], cell[0]) != (mask[-1], cell[-1]) else 0
-            key = (int(mask[0]), int(cell[0]))
-            if hot == key:  # goes on with a cell that is given out in blocks
-                end = last and int(np.flatnonzero((mask != mask[0]) | (cell != cell[0]))[0])
-                if last:
-                    yield rows(cell=repr(key).encode(), blocks=[fp[:end].tobytes()])
-                    hot, mask, cell, fp, last = None, mask[end:], cell[end:], fp[end:], last - end
+            if hot is not None:  # goes on with a cell that is given out in blocks
+                other = np.flatnonzero((key != hot).any(1))
+                if len(other):
+                    end = int(other[0])
+                    yield self._block(hot, k, data[:end])
+                    key, data, hot = key[end:], data[end:], None
+            other = np.flatnonzero((key != key[-1]).any(1))
+            last = int(other[-1]) + 1 if len(other) else 0
             if last:
-                yield from whole(mask[:last], cell[:last], fp[:last])
-            rest = [mask[last:], cell[last:], fp[last:]]
-            while len(rest[2]) > block:
-                hot = (int(rest[0][0]), int(rest[1][0]))
-                yield rows(cell=repr(hot).encode(), blocks=[rest[2][:block].tobytes()])
-                rest = [x[block:] for x in rest]
-        if len(rest[2]):
-            if hot == (int(rest[0][0]), int(rest[1][0])):
-                yield rows(cell=repr(hot).encode(), blocks=[rest[2].tobytes()])
+                for x, y in self._whole(key[:last], np.ascontiguousarray(data[:last])):
+                    yield self._links(x, y)
+                key, data = key[last:], data[last:]
+            while len(key) > self.block:
+                if hot is None:
+                    hot, k = key[0].copy(), 0
+                yield self._block(hot, k, data[: self.block])
+                key, data, k = key[self.block :], data[self.block :], k + 1
+        if key is not None and len(key):
+            if hot is not None:
+                yield self._block(hot, k, data)
             else:
-                yield from whole(*rest)
+                for x, y in self._whole(key, np.ascontiguousarray(data)):
+                    yield self._links(x, y)
 
-    return run
+    def pair(self, words: int):
+        """mapInArrow over two blocks of one cell each row: the links among them."""
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for blocks in b.column(0).to_pylist():
+                    name, fp, size = self._points(np.frombuffer(b"".join(blocks), np.int64).reshape(-1, words))
+                    x, y = self._forest(fp, size)
+                    yield pa.RecordBatch.from_arrays([pa.array(name[x]), pa.array(name[y])], names=["a", "b"])
+
+        return run
+
+
+def _compared(cells: DataFrame, find: _Cells) -> DataFrame:
+    """(a, b) from rows of cells, each pair once. Two blocks of a dense cell meet in a
+    task of their own, each block dealt once for every other block of its cell."""
+    words = len(cells.columns) - 2
+    dealt = cells.repartition("mask", "cell").sortWithinPartitions("mask", "cell", cells.columns[2])
+    found = cut(dealt.mapInArrow(find, _Cells.SCHEMA), "simhash-cells")
+    blocks = found.where("block is not null").select("cell", "k", "block")
+    number = blocks.groupBy("cell").agg((F.max("k") + 1).alias("n"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o")
+    met = blocks.join(number, "cell").select("cell", "k", "block", other).where("o <> k").groupBy("cell", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j")).agg(F.collect_list("block").alias("blocks"))
+    more = met.select("blocks").mapInArrow(find.pair(words), "a long, b long")
+    both = found.where("block is null").select("a", "b").union(more)
+    return both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-def _join_blocks(distance: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x, y in zip(b.column(0), b.column(1)):
-                fp = np.unique(np.frombuffer(x.as_py() + y.as_py(), np.uint64))
-                i, j = _forest(fp, distance)
-                yield pa.RecordBatch.from_arrays([pa.array(fp[i].view(np.int64)), pa.array(fp[j].view(np.int64))], names=["a", "b"])
 
-    return run
+def bands_for(points: int) -> int:
+    """So many bands that a cell has tens of unrelated points, not thousands."""
+    return 7 if points < 1 << 24 else 8 if points < 1 << 29 else 10
 
 
 def links(fps: DataFrame, distance: int = 4, bands: int = 7, small: int = 24, block: int = 8192) -> DataFrame:
@@ -194,33 +267,154 @@ def links(fps: DataFrame, distance: int = 4, bands: int = 7, small: int = 24, bl
     A grid range-join: each point goes to one cell under each band mask (35 with the
     defaults), cells are compared under Manhattan distance of the counts, what is
     left is verified on all 64 bits. ``bands`` trades cells for candidates and does
-    not change the result; more rows call for more bands. Copies are one point, and
-    a cell gives a forest, so dense groups give no square number of links."""
+    not change the result; more rows call for more bands (``bands_for``). Copies are one
+    point, and a cell gives a forest, so dense groups give no square number of links."""
     masks = band_masks(bands, distance)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     at = F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), popcounts(F.col("fp")).bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(signed))))
     cells = fps.select("fp", at.alias("x")).select("x.mask", "x.cell", "fp")
-    dealt = cells.repartition("mask", "cell").sortWithinPartitions("mask", "cell", "fp")
-    found = cut(dealt.mapInArrow(_join_cells(distance, small, block), _LINKS), "simhash-cells")
-    blocks = found.where("block is not null").select("cell", "block", F.xxhash64("block").alias("h"))
-    pairs = blocks.alias("x").join(blocks.alias("y"), F.expr("x.cell = y.cell and x.h < y.h")).select(F.col("x.block").alias("p"), F.col("y.block").alias("q"))
-    more = pairs.repartition(F.xxhash64("p", "q")).mapInArrow(_join_blocks(distance), "a long, b long")
-    return found.where("block is null").select("a", "b").union(more).distinct()
+    return _compared(cells, _Cells(distance, small, block))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, bands: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
+def _classes(rows: DataFrame, groups: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``rows`` with component_id, the smallest doc_id of those reachable over the links
+    ``found``, and root, the name of the component. ``groups`` (written): key, least, n
+    for each distinct key. Keys and components of very many rows are dealt over tasks."""
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("keys")).first()
+    named = cut(groups.join(components(found).withColumnRenamed("node", "_node"), F.col(key) == F.col("_node"), "left").select(key, "least", F.coalesce("root", key).alias("root")), "simhash-roots")
+    least = cut(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "simhash-least")
+    named = spread_join(named.select(key, "root"), least.select("root", "component_id"), ["root"], least.select("root", "n"), total["keys"])
+    return spread_join(rows, cut(named, "simhash-named"), [key], groups.select(key, "n"), total["rows"])
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, bands: int | None = None) -> DataFrame:
     """One row per input row: doc_id, fp (signed), component_id, the smallest doc_id
     reachable over fingerprints at ``distance`` or fewer differing bits, component_fp,
-    a fingerprint that names the component, and the columns ``carry``.
+    a fingerprint that names the component.
 
     Null text: as empty; texts without a word have fingerprint zero and are linked
     like any other. Null id: the row takes part, but its id is nobody's component_id
-    unless all ids of the component are null. Repeated rows: one result each. Empty
-    table: no rows. Other columns are not read."""
-    fps = cut(fingerprints(docs, id_col, text_col, carry), "simhash-fp")
-    groups = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-groups")
-    roots = components(links(groups.select("fp"), distance, bands))
-    named = groups.join(roots, groups.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id", F.col("root").alias("component_fp"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "component_fp", *carry)
+    unless all ids of the component are null. Repeated rows: one result each. Very long
+    texts: hashed in blocks. Empty table: no rows. Other columns are not read."""
+    fps = cut(fingerprints(docs, id_col, text_col), "simhash-fp")
+    groups = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-groups")
+    found = links(groups.select("fp"), distance, bands or bands_for(groups.count()))
+    return _classes(fps, groups, found, "fp").select("doc_id", "fp", "component_id", F.col("root").alias("component_fp"))
+
+
+# -- documents of similar shingle sets ------------------------------------------------
+WORDS = 2
+
+
+def shingle_set(text: bytes, shingle: int = 5, with_bits: bool = True) -> tuple[int, np.ndarray, np.ndarray]:
+    """(name, set, fingerprint) of a UTF-8 text: a 64-bit hash of its set, the sorted
+    hashes of its distinct word shingles (A-Z lower-cased; fewer words: the whole
+    sequence; none: empty), and its SimHash of 128 bits, if asked for."""
+    words = text.lower().split()
+    if not words:
+        return 0, np.zeros(0, np.int64), np.zeros(WORDS, np.uint64)
+    joined = memoryview(b" ".join(words))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    k = min(shingle, len(words))
+    digest = xxhash.xxh3_128_digest
+    h = np.frombuffer(b"".join([digest(joined[x:y]) for x, y in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())]), np.uint64).reshape(-1, WORDS)
+    own, at = np.unique(h[:, 0].view(np.int64), return_index=True)
+    h = np.ascontiguousarray(h[at]) if with_bits else h[:0]
+    counts = np.zeros(64 * WORDS, np.int64)
+    for i in range(0, len(h), 1 << 14):
+        counts += np.unpackbits(h[i : i + (1 << 14)].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    fp = np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)
+    return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63), own, fp
+
+
+def _sets(docs: DataFrame, shingle: int, shared) -> DataFrame:
+    """(node, set) of the texts whose set's name is in the bitmap ``shared``, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            names, sets = [], []
+            for t in b.column(0):
+                name, own, _ = shingle_set(t.as_py(), shingle, False)
+                if name not in seen and in_bitmap(shared.value, np.array([name]).view(np.uint64))[0]:
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(name), names.append(name), sets.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+
+    return docs.select("text").mapInArrow(run, "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set"))
+
+
+def grid_for(points: int, similarity: float, recall: float, full: float = 12.0) -> tuple[int, int, int]:
+    """(segments a mask, masks, distance) for shingle sets of ``similarity``.
+
+    A SimHash bit of two sets differs with probability q, an angle's share; a segment's
+    counts agree with (1-q)^2 + q^2 / 2, of unrelated texts with 3/8. As many segments
+    as leave about ``full`` unrelated points beside one in its cell; as many masks as
+    find a pair at the threshold with probability ``recall``, a more similar one more
+    surely. The distance lies three standard deviations above such a pair's."""
+    q = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    same = (1 - q) ** 2 + q * q / 2
+    kept = min(max(math.ceil(math.log(max(points, 1) / full) / math.log(8 / 3)), 4), 32 * WORDS)
+    bits = 64 * WORDS
+    return kept, math.ceil(math.log(1 - recall) / math.log(1 - same**kept)), round(bits * q + 3 * math.sqrt(bits * q * (1 - q)))
+
+
+def similar_sets(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, recall: float, small: int, block: int) -> DataFrame:
+    """(a, b): pairs of ``nodes`` (node, size, f0, f1) of a Jaccard similarity of
+    ``similarity`` or more, enough of those found to connect what they connect.
+
+    The same grid with masks drawn at random over the segments of 128 bits; what the
+    cells leave is verified on the shingle sets themselves, which are made again from
+    the texts for candidates only. Exact against false links; ``recall`` is the share
+    of pairs at the threshold that a mask is to bring together."""
+    kept, masks, distance = grid_for(nodes.count(), similarity, recall)
+    rng = random.Random(5)
+    drawn = []
+    for i in range(masks):
+        full = sum(3 << 2 * s for s in rng.sample(range(32 * WORDS), kept))
+        drawn.append((i, *((full >> 64 * w & (1 << 64) - 1) - ((full >> 64 * w + 63 & 1) << 64) for w in range(WORDS))))
+    spark = docs.sparkSession
+    grid = F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), F.lit(x).alias("m0"), F.lit(y).alias("m1")) for i, x, y in drawn))).alias("g")
+    counted = nodes.where("size > 0").select("node", "size", "f0", "f1", popcounts(F.col("f0")).alias("p0"), popcounts(F.col("f1")).alias("p1"), grid)
+    cells = counted.select(F.col("g.mask").alias("mask"), F.xxhash64(F.col("p0").bitwiseAND(F.col("g.m0")), F.col("p1").bitwiseAND(F.col("g.m1"))).alias("cell"), "node", "size", "f0", "f1")
+    pairs = cut(_compared(cells, _Cells(distance, small, block, similarity)), "similar-pairs")
+    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n")), "similar-ends")
+    sets = cut(_sets(docs, shingle, spark.sparkContext.broadcast(bitmap_of(ends, "node"))).join(ends.select("node"), "node", "left_semi"), "similar-sets")
+    total = pairs.count()
+    left = spread_join(pairs, sets.select(F.col("node").alias("a"), F.col("set").alias("x")), ["a"], pairs.groupBy("a").agg(F.count("*").alias("n")), total)
+    left = cut(left, "similar-left")
+    both = spread_join(left, sets.select(F.col("node").alias("b"), F.col("set").alias("y")), ["b"], pairs.groupBy("b").agg(F.count("*").alias("n")), total)
+    common = F.size(F.array_intersect("x", "y"))
+    return both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("s")).where(F.col("c") >= similarity * (F.col("s") - F.col("c")) - 1e-9).select("a", "b")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.95, carry: tuple[str, ...] = (), small: int = 512, block: int = 8192) -> DataFrame:
+    """One row per input row: doc_id, node (the name of its shingle set), component_id,
+    the smallest doc_id reachable over sets of ``similarity`` or more, component, the
+    name of that component, and the columns ``carry``.
+
+    Null text: as empty; texts without a word are one set. Null id: the row takes part,
+    but its id is nobody's component_id unless all ids of the component are null. Ties:
+    a similarity at the threshold links. Repeated rows: one result each. Very long texts:
+    eight bytes a shingle while a text is looked at. Empty table: no rows. Other columns
+    are not read. Names of sets are 64-bit hashes."""
+    carried = [f"_carried_{i}" for i in range(len(carry))]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"), *(F.col(c).alias(x) for c, x in zip(carry, carried)))
+    names = ["doc_id", "node", "size", "f0", "f1", *carried]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, size, fps = [], [], []
+            for t in b.column(1):
+                name, own, fp = shingle_set(t.as_py(), shingle)
+                node.append(name), size.append(len(own)), fps.append(fp.view(np.int64))
+            f = np.stack(fps) if fps else np.zeros((0, WORDS), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), *b.columns[2:]], names=names)
+
+    schema = ", ".join(["doc_id long, node long, size long, f0 long, f1 long", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried)])
+    own = cut(rows.mapInArrow(run, schema), "similar-rows")
+    groups = cut(own.groupBy("node", "size", "f0", "f1").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "similar-groups")
+    found = cut(similar_sets(rows, groups.select("node", "size", "f0", "f1"), shingle, similarity, recall, small, block), "similar-links")
+    return _classes(own, groups, found, "node").select("doc_id", "node", "component_id", F.col("root").alias("component"), *(F.col(x).alias(c) for c, x in zip(carry, carried)))
