@@ -421,13 +421,140 @@ def test_pipeline_stages_on_null_and_repeated_ids(spark):
     near = cp.near_out(spark, kept, "")
     root = {}
     for r in kept.collect():
-        g = root.setdefault(simhash.fingerprint((r.text or "").encode()), [])
-        g.append((r.doc_id is None, r.doc_id or 0))
+        root.setdefault(tuple((r.text or "").split()), []).append((r.doc_id is None, r.doc_id or 0))
     assert near.columns == cp.COLUMNS
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in near.collect()) == sorted(min(g) for g in root.values())
     assert cp.near_out(spark, kept.limit(0), "").count() == 0 and cp.exact_out(spark, df.limit(0), "").count() == 0
 
 
+def shingles(text, k=5):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} or ({" ".join(w)} if w else set())
+
+
+def similar_classes(rows, least=0.8):
+    """The class of each row (id, text), all pairs compared."""
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if (both >= least * (len(a) + len(sets[j]) - both) - 1e-9 if a or sets[j] else True) and top(i) != top(j):
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    return [top(i) for i in range(len(rows))]
+
+
+def altered(rng, words, share):
+    """Words of which some are replaced, so that shingle sets are similar by about ``share``."""
+    n = len(words) - 4
+    many = max(1, round(n * (1 - share) / (1 + share) / 5))
+    out = list(words)
+    for i in rng.sample(range(len(words)), many):
+        out[i] = f"z{rng.randrange(10**6)}"
+    return out
+
+
+def test_similar_documents_against_all_pairs(spark):
+    rng = random.Random(21)
+    fresh = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    texts = [None, "", " \n", "one", "ONE", "two words", "two  words"]
+    for share in (0.7, 0.82, 0.9, 0.95):
+        for _ in range(20):
+            w = fresh(rng.randrange(60, 300))
+            texts += [" ".join(w), " ".join(altered(rng, w, share))]
+    w = fresh(200)
+    texts += [" ".join(altered(rng, w, rng.choice([0.9, 0.97]))) for _ in range(120)]  # a large group
+    for _ in range(8):  # a chain
+        w = altered(rng, w, 0.85)
+        texts.append(" ".join(w))
+    texts += [" ".join(fresh(rng.randrange(1, 12))) for _ in range(60)] + [" ".join(fresh(20_000))] * 2
+    rows = [(i, t, 1.5) for i, t in enumerate(texts)] + [(None, texts[30], 2.5), (31, texts[31], 2.5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, node double").repartition(6)
+    want = similar_classes([r[:2] for r in rows])
+    pairs = lambda c: {(c[i], i) for i in range(len(c))}
+    for small, block in ((512, 8192), (4, 16)):
+        got = {}
+        for r in simhash.similar_documents(df, carry=("text",), small=small, block=block).collect():
+            got[r.doc_id, r.text] = (r.component, r.component_id)
+        assert len(got) == len({r[:2] for r in rows})
+        mine = [got[r[:2]][0] for r in rows]
+        first = {}
+        for i, c in enumerate(mine):
+            first.setdefault(c, i)
+        mine = [first[c] for c in mine]
+        assert all(want[i] == want[m] for i, m in enumerate(mine))  # no false link
+        assert len(pairs(mine) - pairs(want)) <= 3, (small, block)  # and nearly none lost
+        assert got[0, None] == got[1, ""] == got[2, " \n"] and got[3, "one"] == got[4, "ONE"] and got[None, texts[30]][1] <= 30
+    assert simhash.similar_documents(df.limit(0)).count() == 0
+
+
+def test_grid_grows_with_the_rows():
+    sizes = [simhash.grid_for(10**k, 0.8, 0.95) for k in (2, 4, 6, 8)]
+    assert [s[0] for s in sizes] == sorted({s[0] for s in sizes}) and {s[2] for s in sizes} == {32}
+    assert simhash.bands_for(10**6) == 7 and simhash.bands_for(10**10) == 10
+
+
+def test_pipeline_run_against_plain_python(spark, tmp_path):
+    import math
+
+    import corpus_pipeline as cp
+    import public_tokenizers
+
+    rng = random.Random(31)
+    fresh = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]
+    rows = []
+    for i in range(120):
+        w = fresh(rng.randrange(20, 60)) + ["idiot"] * (i % 5 == 0)
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        if i % 9 == 0:
+            rows.append((1000 + i, "  ".join(w)))
+        if i % 7 == 0:
+            rows.append((2000 + i, " ".join([*w[:-1], "end"])))
+    rows += [(5000, None), (5001, ""), (5002, "one"), (None, "no id"), (5002, "one")]
+    rng.shuffle(rows)
+    docs = [(d, t, "en", f"src{(d or 0) % 3}", 1) for d, t in rows]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, 1, int(i % 5 == 0)) for i in range(120)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    text_of = dict(rows)
+    samples = [(y, np.array(toxicity.text_terms(text_of[d], {}), np.int64)) for d, _, y in labels if zlib.crc32(str(d).encode()) % 4 != 2]
+    fm = toxicity.fit(samples)
+    kept = [r for r in docs if round(fm.score(fm.rows(toxicity.text_terms(r[1] or "", {}))), 6) < toxicity.THRESHOLD]
+    assert 80 < len(kept) < len(docs) - 20
+    last = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    for key in (lambda r: re.sub(r"[ \t-\r]+", " ", r[1] or ""), None):
+        kept.sort(key=last)
+        names = [key(r) for r in kept] if key else similar_classes([r[:2] for r in kept])
+        first = {}
+        for r, n in zip(kept, names):
+            first.setdefault(n, r)
+        assert len(first) < len(kept)
+        kept = list(first.values())
+    weight, number = {"src0": 2.0}, collections.Counter(r[3] for r in kept)
+    rates = {s: len(kept) * weight.get(s, 1.0) / sum(weight.get(x, 1.0) for x in number) / n for s, n in number.items()}
+    c, want = pieces.coder(public_tokenizers.path("piece_bpe_32k.model")), []
+    for r in kept:
+        u = (int(hashlib.md5(f"17:{'null' if r[0] is None else r[0]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        k, total, rate = 0, math.exp(-rates[r[3]]), rates[r[3]]
+        term = total
+        while total < u:
+            k += 1
+            term *= rate / k
+            total += term
+        ids = c.sp.encode(r[1] or "")
+        want += [(str(r[0]), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(c.sp.decode(ids).encode()).hexdigest())] * k
+    assert [name for name, _ in cp.STAGES] == ["toxicity", "exact dedup", "simhash near-dedup", "mixing", "sentencepiece"]
+    assert sorted((str(r.doc_id), *r[1:]) for r in cp.run(spark, str(tmp_path)).collect()) == sorted(want) and len(want) > 50
+
+
 def test_toxicity_learns_a_pair_of_neutral_terms():
     def pairs(n, seed):
         rng = random.Random(seed)
