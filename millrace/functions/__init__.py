@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 EPOCH = "2000-01-01"
 _MASK32 = (1 << 32) - 1
@@ -43,21 +42,25 @@ def check_n(n: int) -> int:
 
 def grams(text: Column, n: int = 2) -> Column:
     """All n-character strings of a text, in order (empty for shorter or null texts)."""
-    check_n(n)
-    t = F.coalesce(text, F.lit(""))
-    # The inner lambda sees the characters as a bound value, so a text is split once.
-    cut = F.transform(F.array(F.split(t, "")), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*(F.get(c, i + k) for k in range(n)))))
-    return F.when(F.length(t) >= n, F.get(cut, 0)).otherwise(F.array().cast("array<string>"))
+    # Each match takes one character and looks ahead at the n that begin there.
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?s)(?=(.{{{check_n(n)}}}))."), 1)
 
 
 # Characters that separate tokens.
 SEPARATORS = " \t\n\x0c\r" + ".,!?;:()[]{}\"'/\\|-_~`" + "。、！？「」『』"
-_SPLIT = "[" + "".join("\\" + c if c in "[]\\-^&\"'" else c for c in SEPARATORS) + "]+"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased tokens between separators."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _SPLIT), lambda x: x != "")
+    """Lower-cased tokens between separators. Separators become spaces first: a table of
+    characters is looked up faster than a pattern of them is matched."""
+    spaced = F.translate(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS, " " * len(SEPARATORS))
+    return F.array_remove(F.split(spaced, " "), "")
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row: a lambda's variable is bound,
+    while an expression that stands in several places is copied to each."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 # -- vectors (array<float>), computed in double ------------------------------------
@@ -108,9 +111,11 @@ def fnv1a_64(data: bytes) -> int:
     return _fnv(data, 0xCBF29CE484222325, 0x100000001B3, 64)
 
 
-@F.pandas_udf(T.LongType())
-def fnv1a_32_col(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else fnv1a_32(v.encode() if isinstance(v, str) else bytes(v))).astype("Int64")
+def fnv1a_32_col(value: Column) -> Column:
+    """The same of a text's UTF-8 bytes as a Column; products stay under 2**63."""
+    digits = F.regexp_extract_all(F.hex(value.cast("binary")), F.lit("(..)"), 1)
+    step = lambda h, b: (h.bitwiseXOR(F.conv(b, 16, 10).cast("bigint")) * 0x01000193).bitwiseAND(F.lit(_MASK32))
+    return F.when(value.isNotNull(), F.aggregate(digits, F.lit(0x811C9DC5).cast("bigint"), step))
 
 
 def blob_id(data: Column) -> Column:
@@ -129,3 +134,10 @@ def hlc_receive(local: tuple[int, int, int], received: tuple[int, int, int], now
     wall = max(local[0], received[0], now)
     had = [c[1] for c in (local, received) if c[0] == wall]
     return wall, (max(had) + 1 if had else 0), local[2]
+
+
+def hlc_receive_col(local: Column, received: Column, now: Column) -> Column:
+    """``hlc_receive`` of clock structs as a Column."""
+    wall = F.greatest(local["wall"], received["wall"], now)
+    had = F.greatest(*(F.when(c["wall"] == wall, c["logical"]) for c in (local, received)))
+    return hlc(wall, F.coalesce(had + 1, F.lit(0)), local["peer"])

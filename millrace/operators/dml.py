@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..types import DuplicateKey
+from ..functions import date_to_days, days_to_date
+from ..types import BadValue, DuplicateKey
 
 
 def tie(df: DataFrame, which: Column, values: dict[str, object]) -> DataFrame:
@@ -45,3 +46,26 @@ def merge(df: DataFrame, rows: DataFrame, key: str, supplied: list[str] | None =
     new = rows.select(F.col(key), *(F.col(c).alias(f"_n_{c}") for c in supplied))
     both = df.join(new, key, "full_outer")
     return both.select(*(F.coalesce(f"_n_{c}", c).alias(c) if c in supplied else F.col(c) for c in df.columns))
+
+
+def tie_date(df: DataFrame, which: Column, name: str, day: str) -> DataFrame:
+    """Set a number column of matching rows to a date's days since the epoch."""
+    return df.withColumn(name, F.when(F.coalesce(which, F.lit(False)), date_to_days(F.lit(day).cast("date"))).otherwise(F.col(name)))
+
+
+def get_date(df: DataFrame, name: str) -> DataFrame:
+    """(eid, name): a column of days as dates."""
+    return df.select("eid", days_to_date(F.col(name)).alias(name))
+
+
+def tie_bytes(df: DataFrame, which: Column, name: str, data: bytes) -> DataFrame:
+    """Set a binary column of matching rows."""
+    return df.withColumn(name, F.when(F.coalesce(which, F.lit(False)), F.lit(bytearray(data))).otherwise(F.col(name)))
+
+
+def tie_ref(df: DataFrame, which: Column, name: str, eid: int, target: DataFrame) -> DataFrame:
+    """Let matching rows refer to an entity, which must be one of ``target`` (one look
+    at that id)."""
+    if target.where(F.col("eid") == eid).isEmpty():
+        raise BadValue(f"{name} = {eid}: there is no such entity")
+    return tie(df, which, {name: eid})

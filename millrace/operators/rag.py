@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import collections
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import distance, fnv1a_64, tokens
+from ..functions import distance, fnv1a_64, once, tokens
+from ..sources.store import cut
 from .predicates import All, Filter
 
 
@@ -28,17 +32,17 @@ def bm25_terms(df: DataFrame, text: str = "text") -> DataFrame:
 def bm25(df: DataFrame, query: str, text: str = "text", candidates: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(eid, score) of documents with any query term. Corpus numbers are over all
     documents, also when candidates restrict the result; a repeated query term counts
-    as often as it stands. Term counts are taken inside each row, so only scores of
-    matching documents are shuffled."""
+    as often as it stands. Texts are read and split once, into a small written table of
+    a document's length and its counts of the query's terms."""
     spark = df.sparkSession
     parts = spark.range(1).select(tokens(F.lit(query)).alias("t")).first().t
     if not parts:
         return spark.createDataFrame([], "eid bigint, score double")
     terms = list(dict.fromkeys(parts))
-    rows = df.select("eid", tokens(F.col(text)).alias("t")).select("eid", F.size("t").alias("dl"), *((F.size("t") - F.size(F.array_remove("t", w))).alias(f"tf{i}") for i, w in enumerate(terms))).where("dl > 0")
+    counted = lambda t: F.struct(F.size(t).alias("dl"), *((F.size(t) - F.size(F.array_remove(t, w))).alias(f"tf{i}") for i, w in enumerate(terms)))
+    rows = cut(df.select("eid", once(tokens(F.col(text)), counted).alias("c")).select("eid", "c.*").where("dl > 0"), "bm25")
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *(F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms)))).first()
-    avg = max(stats["avg"] or 0.0, 1.0)
-    norm = k1 * (1 - b + b * F.col("dl") / avg)
+    norm = k1 * (1 - b + b * F.col("dl") / max(stats["avg"] or 0.0, 1.0))
     score = F.lit(0.0)
     for i, w in enumerate(terms):
         n = stats[f"df{i}"] or 0
@@ -49,6 +53,22 @@ def bm25(df: DataFrame, query: str, text: str = "text", candidates: DataFrame |
     return found.join(candidates.select("eid"), "eid", "left_semi") if candidates is not None else found
 
 
+def bm25_postings(postings: DataFrame, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(eid, score) as ``bm25`` finds, from the written table of ``bm25_terms``: only
+    postings of the query's terms and each document's length are looked at."""
+    spark = postings.sparkSession
+    parts = spark.range(1).select(tokens(F.lit(query)).alias("t")).first().t
+    sizes = postings.groupBy("eid").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avg"))
+    weights = spark.createDataFrame(list(collections.Counter(parts).items()) or [("", 0)], "term string, times long")
+    hits = postings.join(F.broadcast(weights), "term")  # as many rows as the query has terms
+    df_ = hits.groupBy("term").agg(F.count("*").alias("df"))
+    each = hits.join(F.broadcast(df_), "term").join(F.broadcast(sizes))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    norm = k1 * (1 - b + b * F.col("dl") / F.greatest("avg", F.lit(1.0)))
+    part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
+    return each.groupBy("eid").agg(F.round(F.sum(part), 6).alias("score"))
+
+
 def ranked(df: DataFrame, k: int, ascending: bool) -> DataFrame:
     """(eid, rank) of the best k rows. Only k rows are numbered."""
     best = df.orderBy(F.col("score").asc() if ascending else F.col("score").desc(), "eid").limit(k)
@@ -74,6 +94,28 @@ SEPARATORS = ("\n\n", "\n", "。", "．", ". ", "、", ", ", " ", "")
 MARKDOWN = ("\n# ", "\n## ", "\n### ", "\n\n", "\n", "。", ". ", " ", "")
 
 
+def _runs(parts: list[str], sep: str, most: int) -> Iterator[str]:
+    """Parts joined to the longest runs that fit, found by bisection over the parts' end
+    offsets. Empty parts begin no run; a part that fits nowhere is cut by length."""
+    ends = list(accumulate(len(p) + len(sep) for p in parts))
+    i = 0
+    while i < len(parts):
+        if not parts[i]:
+            i += 1
+        elif len(parts[i]) > most:
+            yield from by_length(parts[i], most)
+            i += 1
+        else:
+            begin = ends[i] - len(parts[i]) - len(sep)
+            j = bisect_right(ends, begin + most + len(sep), i)
+            yield sep.join(parts[i:j])
+            i = j
+
+
+def by_length(text: str, most: int) -> list[str]:
+    return [text[i : i + most] for i in range(0, len(text), most)]
+
+
 def split_text(text: str, most: int, overlap: int = 0, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Chunks of up to ``most`` characters, packed greedily at the coarsest separator
     that serves, finer ones inside parts that are too long, single characters last.
@@ -81,26 +123,12 @@ def split_text(text: str, most: int, overlap: int = 0, separators: tuple[str, ..
     the one before, at every level a part passes through."""
     if not 0 <= overlap < most:
         raise ValueError("overlap must be less than the size")
-    if len(text) <= most:
-        return [text]
-    level = next((i for i, s in enumerate(separators) if s), None)
-    if level is None:
-        return [text[i : i + most] for i in range(0, len(text), most)]
-    sep, finer = separators[level], separators[level + 1 :]
-    pieces = (q for p in text.split(sep) for q in (split_text(p, most, overlap, finer) if len(p) > most else [p]))
-    packed: list[str] = []
-    held = ""
-    for q in pieces:
-        joined = held + sep + q if held else q
-        if len(joined) <= most:
-            held = joined
-            continue
-        if held:
-            packed.append(held)
-        held = q if len(q) <= most else ""
-        packed += [] if len(q) <= most else [q[i : i + most] for i in range(0, len(q), most)]
-    packed += [held] if held else []
-    return packed[:1] + [(a[-overlap:] if overlap else "") + b for a, b in zip(packed, packed[1:])]
+    coarse, *finer = [s for s in separators if s] or [""]
+    if len(text) <= most or not coarse:
+        return by_length(text, most) or [""]
+    parts = [c for p in text.split(coarse) for c in split_text(p, most, overlap, tuple(finer))]
+    chunks = list(_runs(parts, coarse, most))
+    return [before[-overlap:] + c for before, c in zip(["", *chunks], chunks)] if overlap else chunks
 
 
 def chunk(df: DataFrame, most: int, overlap: int = 0, text: str = "text", separators: tuple[str, ...] = SEPARATORS, splitter: Callable[[str], list[str]] | None = None) -> DataFrame:
@@ -118,47 +146,49 @@ def chunk(df: DataFrame, most: int, overlap: int = 0, text: str = "text", separa
 KNOWN_NUMBERS = 4_000_000
 
 
-def _token_vector(word: str, dim: int) -> np.ndarray:
-    full = (1 << 64) - 1
-    v = np.zeros(dim, np.float32)
-    h = fnv1a_64(word.encode())
+def token_vectors(words: list[str], dim: int) -> np.ndarray:
+    """A row of ``dim`` numbers in [-1, 1) for each word: its 64-bit hash drives a
+    xorshift64* generator, all words' a step at a time."""
+    h = np.array([fnv1a_64(w.encode()) for w in words], np.uint64)
+    out = np.empty((len(words), dim), np.float32)
     for i in range(dim):
-        h ^= h >> 12
-        h = (h ^ (h << 25)) & full
-        h ^= h >> 27
-        v[i] = np.float32(((h * 0x2545F4914F6CDD1D & full) >> 11) / (1 << 53)) * np.float32(2) - np.float32(1)
-    return v
+        h ^= h >> np.uint64(12)
+        h ^= h << np.uint64(25)
+        h ^= h >> np.uint64(27)
+        top = (h * np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(11)
+        out[:, i] = (top / float(1 << 53)).astype(np.float32) * np.float32(2) - np.float32(1)
+    return out
 
 
-def hash_vector(text: str, dim: int, known: dict[str, np.ndarray] | None = None) -> list[float]:
-    """A deterministic unit vector: each token's 64-bit hash drives a xorshift64*
-    generator, and the tokens' numbers in [-1, 1) are added up in the text's order.
-    ``known`` keeps tokens' numbers from text to text."""
+def hash_vectors(texts: list[str], dim: int, known: dict[str, np.ndarray] | None = None) -> list[list[float]]:
+    """A deterministic unit vector for each text: its tokens' numbers, added up in the
+    text's order. ``known`` keeps tokens' numbers from call to call."""
     known = {} if known is None else known
-    words = text.split()
-    v = np.zeros(dim, np.float32)
-    if not words:
-        v[:1] = 1.0
-        return v.tolist()
-    for w in words:
-        x = known.get(w)
-        if x is None:
-            if len(known) * dim > KNOWN_NUMBERS:
-                known.clear()
-            x = known[w] = _token_vector(w, dim)
-        v += x
-    n = float(np.sqrt((v.astype(np.float64) ** 2).sum()))
-    return (v / n if n else v).tolist()
+    split = [t.split() for t in texts]
+    if len(known) * dim > KNOWN_NUMBERS:
+        known.clear()
+    fresh = list(dict.fromkeys(w for words in split for w in words if w not in known))
+    known.update(zip(fresh, token_vectors(fresh, dim)))
+    out = []
+    for words in split:
+        v = np.add.reduce([known[w] for w in words], axis=0, dtype=np.float32) if words else np.eye(1, dim, dtype=np.float32)[0]
+        n = float(np.sqrt((v.astype(np.float64) ** 2).sum()))
+        out.append((v / n if n else v).tolist())
+    return out
+
+
+def hash_vector(text: str, dim: int) -> list[float]:
+    return hash_vectors([text], dim)[0]
 
 
 def embed(df: DataFrame, dim: int, text: str = "text", embedder: Callable[[str], list[float]] | None = None) -> DataFrame:
     """(eid, embedding) by the hash embedder or any function from text to vector."""
     known: dict[str, np.ndarray] = {}
-    make = embedder or (lambda t: hash_vector(t, dim, known))
+    make = (lambda texts: [embedder(t) for t in texts]) if embedder else lambda texts: hash_vectors(texts, dim, known)
 
     @F.pandas_udf("array<float>")
     def vectors(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: make(t or ""))
+        return pd.Series(make([t or "" for t in texts]), dtype=object)
 
     return df.select("eid", vectors(text).alias("embedding"))
 
@@ -166,3 +196,17 @@ def embed(df: DataFrame, dim: int, text: str = "text", embedder: Callable[[str],
 def rerank_by_length(found: DataFrame, text: str = "text") -> DataFrame:
     """Longer texts (in bytes) first, equals as they were ranked."""
     return found.orderBy(F.octet_length(text).desc(), "score", "eid")
+
+
+def rerank(found: DataFrame, score: Column | Callable[[str], float], text: str = "text") -> DataFrame:
+    """Rows by another score, the greatest first, equals as they were ranked: a Column,
+    or a function of the text, which is called batch by batch."""
+    if not isinstance(score, Column):
+        call = score
+
+        @F.pandas_udf("double")
+        def scored(texts: pd.Series) -> pd.Series:
+            return pd.Series([float(call(t or "")) for t in texts], dtype="float64")
+
+        score = scored(text)
+    return found.withColumn("rerank", score).orderBy(F.col("rerank").desc(), "score", "eid")

@@ -76,3 +76,20 @@ def find_value(df: DataFrame, name: str, text: str) -> DataFrame:
 
 def cardinality(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.count_distinct(name).alias("cardinality"))
+
+
+def pull_dates(df: DataFrame, name: str, since: str, until: str) -> DataFrame:
+    """Rows of which a date column lies within two dates, both included."""
+    return df.where(F.col(name).between(F.lit(since).cast("date"), F.lit(until).cast("date")))
+
+
+def live(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """(eid, live) for each asked id."""
+    return ids.select("eid").join(df.select("eid", F.lit(True).alias("live")).distinct(), "eid", "left").select("eid", F.coalesce("live", F.lit(False)).alias("live"))
+
+
+def counters(df: DataFrame, most: int = 1 << 32) -> DataFrame:
+    """(entities, next_eid, remaining): how many there are, the id the next one gets,
+    and how many more ids there are."""
+    top = F.coalesce(F.max("eid") + 1, F.lit(0))
+    return df.agg(F.count_distinct("eid").alias("entities"), top.alias("next_eid"), (F.lit(most) - top).alias("remaining"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import check_n, grams
 from ..types import Unsupported
@@ -49,4 +52,38 @@ def gram_count(postings: DataFrame) -> DataFrame:
 
 
 def remove(postings: DataFrame, ids: DataFrame) -> DataFrame:
-    return postings.join(ids.select("eid"), "eid", "left_anti")
+    return postings.join(ids.select("eid"), "eid", "left_anti").select("gram", "eid")
+
+
+def save(postings: DataFrame, path: str, files: int | None = None) -> None:
+    """Write an index sorted by gram, so that a query's grams prune row groups."""
+    dealt = postings.repartitionByRange(files, "gram") if files else postings.repartitionByRange("gram")
+    dealt.sortWithinPartitions("gram", "eid").write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def add(postings: DataFrame, df: DataFrame, text: str = "text", n: int = 2) -> DataFrame:
+    """The index with the texts of these entities in place of what they had."""
+    return remove(postings, df).union(index(df, text, n))
+
+
+def entry(postings: DataFrame, eid: int) -> DataFrame:
+    """(gram): what an entity is found by."""
+    return postings.where(F.col("eid") == eid).select("gram")
+
+
+def scan(df: DataFrame, predicate: Column | Callable[[str], bool], text: str = "text") -> DataFrame:
+    """Entities whose text meets any predicate: a Column, or a function of the text,
+    which is called batch by batch. Null texts meet none."""
+    if not isinstance(predicate, Column):
+        call = predicate
+
+        @F.pandas_udf("boolean")
+        def met(texts: pd.Series) -> pd.Series:
+            return pd.Series([t is not None and bool(call(t)) for t in texts], dtype=bool)
+
+        predicate = met(text)
+    return df.where(F.col(text).isNotNull()).where(predicate).select("eid")

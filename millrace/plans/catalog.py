@@ -3,27 +3,48 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import dml
 from ..sources.store import cut, snapshot
-from ..types import LEAF, NUMBER, REF, TAG, BadValue, ColumnSpec, SchemaConflict, TableBuilder, TableSpec, UnknownColumn, UnknownTable, check_number
+from ..types import LEAF, NUMBER, REF, TAG, BadValue, ColumnSpec, SchemaConflict, TableBuilder, TableSpec, UnknownColumn, UnknownTable, Unsupported, check_number, kind_of
 from .query import Query
 
+#: A table is written after so many changes.
+SETTLE = 16
+SPECS = "name string, primary_key string, columns array<struct<name:string,type:string,target:string,cardinality:bigint>>"
+
 
 class Catalog:
     """Named tables with specifications, keys, references and tenant scopes."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, read_only: bool = False):
+        self.spark, self.read_only = spark, read_only
         self.specs: dict[str, TableSpec] = {}
         self.tables: dict[str, DataFrame] = {}
+        self.next_eid: dict[str, int] = {}
+        self.changes: dict[str, int] = {}
+
+    def _writable(self) -> None:
+        if self.read_only:
+            raise Unsupported("a replica takes no writes")
+
+    def put(self, name: str, df: DataFrame) -> None:
+        """A table's next version. After ``SETTLE`` changes it is written, so a plan
+        never holds more than that many."""
+        self._writable()
+        self.tables[name] = df
+        self.changes[name] = self.changes.get(name, 0) + 1
+        if self.changes[name] >= SETTLE:
+            self.settle(name)
 
     # -- declaration -----------------------------------------------------------
     def declare(self, builder: TableBuilder | TableSpec, data: DataFrame | None = None) -> "Table":
         """Create a table, or migrate it: declared columns must begin with the old
         ones, new ones follow."""
+        self._writable()
         spec = builder.build() if isinstance(builder, TableBuilder) else builder
         for c in spec.columns:
             if c.type == REF and c.target not in self.specs and c.target != spec.name:
@@ -41,15 +62,16 @@ class Catalog:
         return Table(self, spec.name)
 
     def register(self, name: str, df: DataFrame, key: str | None = None) -> "Table":
-        """A table over existing data; whole and fractional numbers become numbers."""
-        kinds = {"string": TAG}
-        columns = tuple(ColumnSpec(f.name, kinds.get(f.dataType.simpleString(), NUMBER)) for f in df.schema if f.name != "eid")
+        """A table over existing data: numbers become numbers, texts tags, and all else
+        (dates, booleans, arrays) leaves, which no equality finds."""
+        columns = tuple(ColumnSpec(f.name, kind_of(f.dataType)) for f in df.schema if f.name != "eid")
         self.specs[name] = TableSpec(name, columns, key)
         self.tables[name] = df
         return Table(self, name)
 
     def add_column(self, table: str, column: ColumnSpec) -> None:
         """Idempotent; a different type under the name is a conflict."""
+        self._writable()
         spec = self.spec(table)
         if old := spec.column(column.name):
             if (old.type, old.target) != (column.type, column.target):
@@ -76,13 +98,37 @@ class Catalog:
     def scope(self, prefix: str) -> "Scope":
         return Scope(self, prefix)
 
+    def describe(self) -> DataFrame:
+        """(table, column, type, target, key): every declared column."""
+        rows = [(t, c.name, c.type, c.target, c.name == s.primary_key) for t, s in sorted(self.specs.items()) for c in s.columns]
+        return self.spark.createDataFrame(rows, "table string, column string, type string, target string, key boolean")
+
+    def ranges(self) -> DataFrame:
+        """(table, first, last, rows): the ids of each table."""
+        each = [df.agg(F.lit(n).alias("table"), F.min("eid").alias("first"), F.max("eid").alias("last"), F.count("*").alias("rows")) for n, df in sorted(self.tables.items())]
+        return reduce(DataFrame.union, each, self.spark.createDataFrame([], "table string, first bigint, last bigint, rows bigint"))
+
     def save(self, path: str) -> None:
+        """Every table and, last, the declarations, which ``open`` reads back."""
         for name, df in self.tables.items():
-            snapshot(df, f"{path}/{name}")
+            snapshot(df, f"{path}/tables/{name}")
+        rows = [(s.name, s.primary_key, [(c.name, c.type, c.target, c.cardinality) for c in s.columns]) for s in self.specs.values()]
+        snapshot(self.spark.createDataFrame(rows, SPECS).coalesce(1), f"{path}/specs")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, read_only: bool = False) -> "Catalog":
+        """A saved catalog: the same declarations over the same rows. ``read_only`` opens
+        it as a replica, which refuses writes."""
+        out = cls(spark, read_only)
+        for r in spark.read.schema(SPECS).parquet(f"{path}/specs").collect():  # a row a table
+            out.specs[r.name] = TableSpec(r.name, tuple(ColumnSpec(*c) for c in r.columns), r.primary_key)
+            out.tables[r.name] = spark.read.parquet(f"{path}/tables/{r.name}")
+        return out
 
     def settle(self, name: str) -> None:
         """Write a table that many changes were made to, which ends its lineage."""
         self.tables[name] = cut(self.tables[name], "table")
+        self.changes[name] = 0
 
 
 class Scope:
@@ -133,15 +179,19 @@ class Table:
         self._append([self._checked(r) for r in rows])
 
     def _append(self, rows: list[dict]) -> None:
-        last = self.df.agg(F.coalesce(F.max("eid"), F.lit(-1))).first()[0]
-        data = [(last + 1 + i, *(r.get(c.name) for c in self.spec.columns)) for i, r in enumerate(rows)]
-        self.catalog.tables[self.name] = self.df.unionByName(self.catalog.spark.createDataFrame(data, self.spec.schema()))
+        self.catalog._writable()
+        if self.name not in self.catalog.next_eid:  # once a table; later inserts count on
+            self.catalog.next_eid[self.name] = self.df.agg(F.coalesce(F.max("eid"), F.lit(-1))).first()[0] + 1
+        first = self.catalog.next_eid[self.name]
+        data = [(first + i, *(r.get(c.name) for c in self.spec.columns)) for i, r in enumerate(rows)]
+        self.catalog.next_eid[self.name] = first + len(rows)
+        self.catalog.put(self.name, self.df.unionByName(self.catalog.spark.createDataFrame(data, self.spec.schema())))
 
     def upsert(self, row: dict) -> None:
         """Change the row with this key, or insert it."""
         row, key = self._checked(row), self.spec.primary_key
         if key and key in row and not self.df.where(F.col(key) == row[key]).isEmpty():
-            self.catalog.tables[self.name] = dml.tie(self.df, F.col(key) == row[key], {n: v for n, v in row.items() if n != key})
+            self.catalog.put(self.name, dml.tie(self.df, F.col(key) == row[key], {n: v for n, v in row.items() if n != key}))
         else:
             self._append([row])
 
@@ -149,10 +199,10 @@ class Table:
         return self.df.where(F.col("eid") == eid)
 
     def update(self, eid: int, values: dict) -> None:
-        self.catalog.tables[self.name] = dml.tie(self.df, F.col("eid") == eid, self._checked(values))
+        self.catalog.put(self.name, dml.tie(self.df, F.col("eid") == eid, self._checked(values)))
 
     def delete(self, eid: int) -> None:
-        self.catalog.tables[self.name] = dml.delete(self.df, F.col("eid") == eid)
+        self.catalog.put(self.name, dml.delete(self.df, F.col("eid") == eid))
 
     def query(self) -> Query:
         return Query(self.df, self.spec)

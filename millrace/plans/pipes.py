@@ -39,7 +39,7 @@ def conditions(text: str) -> list[Condition]:
         elif ".." in value:
             lo, hi = (_number(v) for v in value.split("..", 1))
             if lo > hi:
-                raise BadValue(f"range lo > hi: {value}")
+                raise BadValue(f"{value}: a range must not end before it begins")
             out.append(Condition(name, lo, hi))
         else:
             out.append(Condition(name, _number(value)))
@@ -48,13 +48,13 @@ def conditions(text: str) -> list[Condition]:
 
 def _matching(df: DataFrame, conds: list[Condition], strict: bool) -> DataFrame:
     if not conds:
-        raise BadValue("no conditions")
+        raise BadValue("at least one attribute:value is needed")
     if any(c.name not in df.columns for c in conds):
         return df.limit(0)
     if strict:
         for c in conds:
             if isinstance(c.lo, str) and df.where(c.column()).isEmpty():
-                raise BadValue(f"unknown text: {c.lo}")
+                raise BadValue(f"no row has the text {c.lo!r}")
     for c in conds:
         df = df.where(c.column())
     return df
@@ -125,7 +125,7 @@ def _edit(df: DataFrame, kind: str, rest: str) -> DataFrame:
 
 def graph_pipe(df: DataFrame, text: str) -> DataFrame:
     """``conditions | follow a b | reverse a | where pairs | bfs a depth | select x y |
-    get x | count`` over one table whose reference columns point into itself."""
+    get x | extract x | count`` over one table whose reference columns point into itself."""
     first, *stages = _quoted_split(text.strip()) or [""]
     eids = _matching(df, conditions(first), False).select("eid")
     for s in stages:
@@ -145,6 +145,8 @@ def graph_pipe(df: DataFrame, text: str) -> DataFrame:
             if len(args) < 2 or not args[1].isdigit():
                 raise BadValue("bfs: an attribute and a depth")
             eids = graph.bfs(eids, df, args[0], int(args[1])).select("eid")
+        elif cmd == "extract":
+            return eids.join(df.select("eid", F.col(args[0]).alias("value")), "eid").where("value is not null").select("value") if args[0] in df.columns else eids.limit(0).select(F.col("eid").alias("value"))
         elif cmd in ("select", "get"):
             names = args if cmd == "select" else args[:1]
             known = [F.col(n) if n in df.columns else F.lit(None).cast("bigint").alias(n) for n in names]

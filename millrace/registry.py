@@ -226,11 +226,13 @@ def sql_order_limit_offset(spark, d):
     return _db(spark, d).execute("SELECT id, name FROM customer WHERE nation BETWEEN 3 AND 9 AND segment = 'BUILDING' ORDER BY id DESC LIMIT 10 OFFSET 5")
 
 
-@query("WITH t AS (SELECT l_orderkey::BIGINT AS id, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity::BIGINT END AS q FROM lineitem WHERE l_orderkey % 500 = 1), r AS (SELECT q FROM t ORDER BY q DESC NULLS FIRST LIMIT 40) SELECT count(*) - count(q) AS nulls, coalesce(sum(q), 0)::BIGINT AS sum FROM r")
+@query("""WITH t AS (SELECT l_orderkey::BIGINT AS id, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity::BIGINT END AS q FROM lineitem)
+    SELECT q, count(*) AS n FROM (SELECT q FROM t ORDER BY q DESC NULLS FIRST LIMIT 12000) GROUP BY 1""")
 def sql_nulls_desc(spark, d):
+    """The first 12,000 lines in descending order: nulls, where there are fewer of them then the greatest."""
     db = Database(spark)
-    db.register("t", _lines(spark, d).where("orderkey % 500 = 1").selectExpr("orderkey as id", "if(line = 3, null, qty) as q"))
-    return db.execute("SELECT q FROM t ORDER BY q DESC LIMIT 40").agg((F.count("*") - F.count("q")).alias("nulls"), F.coalesce(F.sum("q"), F.lit(0)).alias("sum"))
+    db.register("t", _lines(spark, d).selectExpr("orderkey as id", "if(line = 3, null, qty) as q"))
+    return db.execute("SELECT q FROM t ORDER BY q DESC LIMIT 12000").groupBy("q").agg(F.count("*").alias("n"))
 
 
 @query("""WITH t AS (SELECT l_orderkey::BIGINT AS id, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity::BIGINT END AS q FROM lineitem),
@@ -244,11 +246,12 @@ def sql_nulls_desc_all(spark, d):
     return nulls.crossJoin(db.execute("SELECT q FROM t WHERE q IS NOT NULL ORDER BY q DESC LIMIT 40").agg(F.coalesce(F.sum("q"), F.lit(0)).alias("sum")))
 
 
-@query(f"WITH {_C} SELECT id, name, CASE WHEN id = 7 THEN 'MOVED' ELSE segment END AS segment FROM c WHERE id BETWEEN 5 AND 9 UNION ALL SELECT 99999999, 'new', 'X'")
+@query(f"WITH {_C} SELECT id, name, nation, CASE WHEN id IN (7, 8) THEN 'MOVED' ELSE segment END AS segment FROM c UNION ALL SELECT 99999999, 'new', NULL, 'X'")
 def sql_or_replace(spark, d):
+    """Rows merged into the whole table: columns that are not named keep their values."""
     db = _db(spark, d)
-    db.execute("DELETE FROM customer WHERE id > 9; DELETE FROM customer WHERE id < 5; INSERT OR REPLACE INTO customer (id, segment) VALUES (7, 'MOVED'); INSERT INTO customer (id, name, segment) VALUES (99999999, 'new', 'X')")
-    return db.execute("SELECT id, name, segment FROM customer")
+    db.execute("INSERT OR REPLACE INTO customer (id, segment) VALUES (7, 'MOVED'), (8, 'MOVED'); INSERT INTO customer (id, name, segment) VALUES (99999999, 'new', 'X')")
+    return db.execute("SELECT id, name, nation, segment FROM customer")
 
 
 @query(f"WITH {_C} SELECT id, name, CASE WHEN id = 7 THEN 'MOVED' ELSE segment END AS segment FROM c UNION ALL SELECT 99999999, 'new', 'X'")
@@ -368,22 +371,6 @@ def bm25(spark, d):
     return rag.bm25(_documents(spark, d), "Idiot thing, idiot")
 
 
-def _hybrid_input(spark, d):
-    """Documents with the vector of the same number, modulo the number of vectors."""
-    docs = _documents(spark, d).withColumn("v", F.col("eid") % 500)
-    return docs.join(_vectors(spark, d).select(F.col("eid").alias("v"), "embedding"), "v")
-
-
-@query(f"""WITH {_BM25},
-    v AS (SELECT doc_id AS eid, round(greatest(0.0, 1 - list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q)))), 6) AS score
-          FROM (SELECT doc_id, embedding::DOUBLE[] AS e, {_QL} AS q FROM documents JOIN embeddings ON vec_id = doc_id % 500 WHERE lang = 'en')),
-    r AS (SELECT eid, row_number() OVER (ORDER BY score, eid) AS rank FROM v QUALIFY rank <= 40
-          UNION ALL SELECT eid, row_number() OVER (ORDER BY score DESC, eid) AS rank FROM bm WHERE eid IN (SELECT doc_id FROM documents JOIN embeddings ON vec_id = doc_id % 500 WHERE lang = 'en') QUALIFY rank <= 40)
-    SELECT eid, round(sum(1.0 / (60 + rank)), 9) AS score FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
-def rrf_hybrid(spark, d):
-    return rag.hybrid(_hybrid_input(spark, d), _QV, "Idiot thing, idiot", 10, where=Eq("lang", "en"))
-
-
 _ALL_HYBRID = "documents JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings) WHERE lang = 'en'"
 
 
@@ -394,13 +381,18 @@ _ALL_HYBRID = "documents JOIN embeddings ON vec_id = doc_id % (SELECT count(*) F
           UNION ALL SELECT eid, row_number() OVER (ORDER BY score DESC, eid) AS rank FROM bm WHERE eid IN (SELECT doc_id FROM {_ALL_HYBRID}) QUALIFY rank <= 40)
     SELECT eid, round(sum(1.0 / (60 + rank)), 9) AS score FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 def rrf_hybrid_all(spark, d):
-    """Over all vectors: their number is the modulus."""
+    """Over all documents and vectors: their number is the modulus."""
     vectors = _vectors(spark, d)
-    n = vectors.agg(F.count("*").alias("n"))
-    docs = _documents(spark, d).crossJoin(F.broadcast(n)).withColumn("v", F.expr("eid % nullif(n, 0)")).drop("n")
+    n = vectors.agg(F.count("*").alias("n"))  # one row
+    docs = _documents(spark, d).join(F.broadcast(n)).withColumn("v", F.expr("eid % nullif(n, 0)")).drop("n")
     return rag.hybrid(docs.join(vectors.select(F.col("eid").alias("v"), "embedding"), "v"), _QV, "Idiot thing, idiot", 10, where=Eq("lang", "en"))
 
 
+@query(ORACLE["rrf_hybrid_all"])
+def rrf_hybrid(spark, d):
+    return rrf_hybrid_all(spark, d)
+
+
 @query()
 def chunk(spark, d):
     return rag.chunk(_documents(spark, d), 400, 40).select("eid", "position", F.length("chunk").alias("chars"), F.sha2("chunk", 256).alias("sha256"))
@@ -426,9 +418,14 @@ def blob_dedupe(spark, d):
     return pages.select(fn.blob_id(F.col("html")).alias("sha256")).groupBy("sha256").agg(F.count("*").alias("pages")).join(blobs.select("sha256"), "sha256", "left_semi")
 
 
-@query("SELECT count(*) AS rows FROM orders")
+@query(f"WITH {_O} SELECT status AS part, count(*) AS rows, CASE WHEN status = 'P' THEN 'changed' END AS change FROM o GROUP BY 1")
 def seal_rows(spark, d):
-    return store.seal(_orders(spark, d)).select("rows")
+    """A seal's parts, and which of them another version of the table changes: every
+    digest is compared."""
+    o = _orders(spark, d)
+    now = o.withColumn("priority", F.when(F.col("status") == "P", F.lit("none")).otherwise(F.col("priority")))
+    old = store.seal(o, "status")
+    return old.join(store.seal_diff(old, store.seal(now, "status")), "part", "left").select("part", "rows", "change")
 
 
 @query()

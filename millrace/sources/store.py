@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import blob_id
@@ -90,9 +91,17 @@ def compact(df: DataFrame, path: str, files: int, sort_by: str | None = None) ->
     out.write.mode("overwrite").parquet(path)
 
 
-def seal(df: DataFrame) -> DataFrame:
-    """(rows, digest): an order-independent digest of all rows."""
-    return df.select(F.xxhash64(*df.columns).cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("rows"), F.coalesce(F.sum("h"), F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest"))
+def seal(df: DataFrame, part: str | None = None) -> DataFrame:
+    """(rows, digest): an order-independent digest of all rows, or of each ``part``."""
+    h = df.select(*([F.col(part).alias("part")] if part else []), F.xxhash64(*df.columns).cast("decimal(38,0)").alias("h"))
+    return (h.groupBy("part") if part else h).agg(F.count("*").alias("rows"), F.coalesce(F.sum("h"), F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest"))
+
+
+def seal_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(part, change): parts of two seals that differ: added, removed or changed."""
+    a, b = old.select(F.struct("part").alias("p"), "rows", "digest"), new.select(F.struct("part").alias("p"), F.col("rows").alias("r"), F.col("digest").alias("d"))
+    change = F.when(F.col("rows").isNull(), "added").when(F.col("r").isNull(), "removed").when((F.col("rows") != F.col("r")) | (F.col("digest") != F.col("d")), "changed")
+    return a.join(b, "p", "full_outer").select(F.col("p.part").alias("part"), change.alias("change")).where("change is not null")
 
 
 def put_blobs(df: DataFrame, data: str) -> DataFrame:
@@ -105,6 +114,32 @@ def get_blobs(store: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select("sha256").join(store, "sha256", "left")
 
 
+class BlobStore:
+    """Contents by their SHA-256 in a folder of Parquet files, each once."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def all(self) -> DataFrame:
+        try:
+            return self.spark.read.parquet(self.path)
+        except AnalysisException:
+            return self.spark.createDataFrame([], "sha256 string, data binary")
+
+    def put(self, df: DataFrame, data: str) -> DataFrame:
+        """Write contents that are not there yet; their ids, each once."""
+        blobs = put_blobs(df, data)
+        blobs.join(self.all().select("sha256"), "sha256", "left_anti").write.mode("append").parquet(self.path)
+        return blobs.select("sha256")
+
+    def get(self, ids: DataFrame) -> DataFrame:
+        return get_blobs(self.all(), ids)
+
+    def exists(self, ids: DataFrame) -> DataFrame:
+        """(sha256, found)."""
+        return ids.select("sha256").join(self.all().select("sha256", F.lit(True).alias("found")), "sha256", "left").select("sha256", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def content(df: DataFrame, keys: list[str]) -> DataFrame:
     """(eid, content): keyed bytes of each entity as a map, missing keys left out."""
     pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.col(k).cast("binary").alias("value")) for k in keys))
@@ -143,5 +178,3 @@ def to_wire(df: DataFrame) -> DataFrame:
 
 def from_wire(df: DataFrame, schema: str) -> DataFrame:
     return df.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
-
-

@@ -6,6 +6,7 @@ content, commit), value (text)."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -46,6 +47,51 @@ def allowed(ops: DataFrame, writers: DataFrame | None) -> DataFrame:
     return ops if writers is None else ops.join(writers.select("author"), "author", "left_semi")
 
 
+def granted(ops: DataFrame, grants: DataFrame) -> DataFrame:
+    """Ops that a grant (author, attribute) covers; a null attribute covers all. Deletes
+    need a grant for all."""
+    whole = grants.where("attribute is null").select(F.col("author").alias("_author"), F.lit(None).cast("string").alias("_attribute"))
+    own = grants.where("attribute is not null").select(F.col("author").alias("_author"), F.col("attribute").alias("_attribute"))
+    covers = (F.col("author") == F.col("_author")) & (F.col("_attribute").isNull() | ((F.col("attribute") == F.col("_attribute")) & (F.col("kind") != "delete")))
+    return ops.join(whole.union(own), covers, "left_semi")
+
+
+def apply_counts(ops: DataFrame, writers: DataFrame | None = None) -> DataFrame:
+    """(received, rejected, repeated, applied, skipped): of all ops, those of strangers,
+    those whose clock came before, those that decide a value or a deletion, and those
+    that a later clock outdid."""
+    mine = ops if writers is None else ops.join(writers.select("author", F.lit(1).alias("_in")).distinct(), "author", "left")
+    flag = mine.select("*", (F.lit(True) if writers is None else F.col("_in").isNotNull()).alias("_ok"))
+    once = deduplicated(flag.where("_ok"))
+    dead = once.where("kind = 'delete'").groupBy("eid").agg(F.max(clock()).alias("at")).select("at.*")
+    won = once.where("kind in ('tie', 'untie', 'content')").groupBy("eid", "attribute").agg(F.max(clock()).alias("at")).select("at.*")
+    number = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("k"), "n")
+    parts = [number(flag, "received"), number(flag.where("not _ok"), "rejected"), number(flag.where("_ok and kind <> 'commit'"), "own"), number(once.where("kind <> 'commit'"), "different"), number(dead.union(won), "applied")]
+    of = lambda name: F.max(F.when(F.col("k") == name, F.col("n")))
+    return reduce(DataFrame.union, parts).agg(of("received").alias("received"), of("rejected").alias("rejected"), (of("own") - of("different")).alias("repeated"), of("applied").alias("applied"), (of("different") - of("applied")).alias("skipped"))
+
+
+def replay(df: DataFrame, ops: DataFrame) -> DataFrame:
+    """A table (eid, columns) after the committed part of a log: what is merged for an
+    entity replaces its values; unties and deletes make them missing; new ones come in."""
+    done = committed(ops)
+    names = [c for c in df.columns if c != "eid"]
+    last = done.where("kind in ('tie', 'untie', 'content')").groupBy("eid", "attribute").agg(F.max_by(F.struct("kind", "value"), clock()).alias("w"), F.max(clock()).alias("at"))
+    said = last.groupBy("eid").agg(*(F.max(F.when(F.col("attribute") == n, F.struct("at", "w"))).alias(f"_said_{i}") for i, n in enumerate(names)))
+    dead = tombstones(done).select("eid", F.col("clock").alias("_dead"))
+    both = df.withColumn("_old", F.lit(True)).join(said, "eid", "full_outer").join(dead, "eid", "left")
+
+    def now(i: int, n: str) -> Column:
+        s = F.col(f"_said_{i}")
+        late = F.col("_dead").isNull() | (s["at"] > F.col("_dead"))
+        own = F.when(s.isNotNull() & late, F.when(s["w"]["kind"] != "untie", s["w"]["value"]).cast(df.schema[n].dataType))
+        return F.when(s.isNull() & F.col("_dead").isNull(), F.col(n)).otherwise(own).alias(n)
+
+    out = both.select("eid", *(now(i, n) for i, n in enumerate(names)), F.col("_dead").isNotNull().alias("_dead"))
+    any_left = reduce(lambda a, b: a | b, (F.col(n).isNotNull() for n in names), F.lit(False))
+    return out.where(~F.col("_dead") | any_left).drop("_dead")
+
+
 def audit(ops: DataFrame, since: tuple[int, int, int] | None = None, until: tuple[int, int, int] | None = None, author: str | None = None) -> DataFrame:
     """Ops within clocks, both inclusive, and of an author."""
     lit = lambda c: hlc(*(F.lit(v) for v in c))
@@ -170,3 +216,20 @@ def listen(ops: DataFrame, listener: Callable[[DataFrame, int], None], checkpoin
     """Hand each micro-batch, in clock order, to a listener; at least once."""
     writer = ops.writeStream.foreachBatch(lambda df, n: listener(df.orderBy(*CLOCK), n)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+class Rooms:
+    """Batches of ops in rooms as one DataFrame each: what a test or a notebook hands
+    from peer to peer without files."""
+
+    def __init__(self) -> None:
+        self.rooms: dict[str, DataFrame] = {}
+
+    def publish(self, ops: DataFrame, room: str = "default") -> None:
+        now = self.rooms.get(room)
+        self.rooms[room] = ops if now is None else now.union(ops.select(now.columns))
+
+    def pull(self, room: str = "default", cursor: tuple[int, int, int] | None = None) -> DataFrame:
+        """Each clock once, in clock order, after a cursor."""
+        ops = deduplicated(self.rooms[room])
+        return (ops if cursor is None else after(ops, cursor)).orderBy(*CLOCK)

@@ -109,6 +109,11 @@ class TableBuilder:
         return spec
 
 
+def kind_of(t: T.DataType) -> str:
+    """The attribute type of a Spark type."""
+    return TAG if isinstance(t, T.StringType) else NUMBER if isinstance(t, T.NumericType) else LEAF
+
+
 def checked_number(c: Column) -> Column:
     """A number column that raises outside 0 .. 2**32 - 2."""
     n = c.cast("bigint")

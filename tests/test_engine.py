@@ -13,7 +13,7 @@ from millrace.plans.pipes import graph_pipe, pipe
 from millrace.plans.sql import Database
 from millrace.sources import store
 from millrace.streaming import oplog
-from millrace.types import BadValue, DuplicateKey, SchemaConflict, TableBuilder, Unsupported
+from millrace.types import BadValue, DuplicateKey, EngineError, SchemaConflict, TableBuilder, Unsupported
 
 
 def rows(df):
@@ -152,23 +152,113 @@ def test_storage(spark, tmp_path):
     assert rows(dml.insert(df, df.limit(0), "eid")) is not None
 
 
-def test_oracle(spark):
+D = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
     duckdb = pytest.importorskip("duckdb")
     from pathlib import Path
 
-    d = "/root/testdata/sf0.001"
-    if not Path(d).exists():
+    if not Path(D).exists():
         pytest.skip("no test data")
-    from millrace.registry import ORACLE, QUERIES
-
     c = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages".split():
-        c.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
-    for name in ("pipe_group_sum", "scan_and", "histogram", "graph_follow", "lww_merge", "bm25", "rrf_hybrid", "sql_or_replace", "vector_topk_l2"):
-        got = QUERIES[name](spark, d)
-        cols = sorted(got.columns)
-        want = c.sql(f"select {', '.join(cols)} from ({ORACLE[name]})").fetchall()
-        assert sorted(map(str, (tuple(r) for r in got.select(*cols).collect()))) == sorted(map(str, want)), name
+        c.sql(f"create view {t} as select * from '{D}/{t}.parquet'")
+    return c
+
+
+def _names():
+    from millrace import registry, registry_state
+
+    some = ("pipe_group_sum", "scan_and", "histogram", "graph_follow", "lww_merge", "bm25", "rrf_hybrid", "sql_or_replace", "sql_nulls_desc", "seal_rows", "vector_topk_l2")
+    return [*some, *registry_state.ORACLE]
+
+
+@pytest.mark.parametrize("name", _names())
+def test_oracle(spark, duck, name):
+    from millrace import registry, registry_state
+
+    got = {**registry.QUERIES, **registry_state.QUERIES}[name](spark, D)
+    cols = sorted(got.columns)
+    plain = lambda v: round(v, 6) if isinstance(v, float) else tuple(map(plain, v)) if isinstance(v, list | tuple) else v
+    quoted = ", ".join(f'"{c}"' for c in cols)
+    want = duck.sql(f"select {quoted} from ({ {**registry.ORACLE, **registry_state.ORACLE}[name] })").fetchall()
+    assert sorted(str(tuple(map(plain, r))) for r in got.select(*cols).collect()) == sorted(str(tuple(map(plain, r))) for r in want)
+
+
+def brute_split(text, most, overlap, separators):
+    """Parts are packed one by one, the next as long as it fits."""
+    if len(text) <= most:
+        return [text]
+    separators = [s for s in separators if s]
+    if not separators:
+        return [text[i : i + most] for i in range(0, len(text), most)]
+    sep, out, now = separators[0], [], None
+    for part in text.split(sep):
+        for p in brute_split(part, most, overlap, separators[1:]):
+            if now and len(now) + len(sep) + len(p) <= most:
+                now += sep + p
+            else:
+                out += [now] if now else []
+                if len(p) <= most:
+                    now = p
+                else:
+                    out += [p[i : i + most] for i in range(0, len(p), most)]
+                    now = None
+    out += [now] if now else []
+    return [(out[i - 1][-overlap:] if i and overlap else "") + c for i, c in enumerate(out)]
+
+
+def test_chunks_against_brute_force():
+    rng = random.Random(17)
+    for _ in range(2000):
+        text = "".join(rng.choice("ab c.\n、, ") for _ in range(rng.randrange(200)))
+        most = rng.randrange(2, 30)
+        overlap = rng.choice([0, rng.randrange(most)])
+        ladder = rng.choice([rag.SEPARATORS, rag.MARKDOWN, ("",), (" ",), ("\n", " ", "")])
+        assert rag.split_text(text, most, overlap, ladder) == brute_split(text, most, overlap, ladder)
+
+
+def test_catalog_keeps_types_apart_and_replicas_refuse(spark, tmp_path):
+    df = spark.sql("select 1L as eid, date'2020-01-01' as day, true as ok, array(1) as a, 2.5D as x, 'z' as t")
+    cat = Catalog(spark)
+    assert [c.type for c in cat.register("t", df).spec.columns] == ["leaf", "leaf", "leaf", "number", "tag"]
+    cat.save(str(tmp_path / "c"))
+    again = Catalog.open(spark, str(tmp_path / "c"), read_only=True)
+    assert again.specs == cat.specs and rows(again.table("t").df) == rows(df)
+    with pytest.raises(Unsupported):
+        again.table("t").delete(1)
+
+
+def test_sql_without_key_and_bare_offset(spark):
+    db = Database(spark)
+    db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, n INTEGER); INSERT INTO t VALUES (1, 5), (2, 6); INSERT OR REPLACE INTO t (n) VALUES (7)")
+    assert rows(db.execute("SELECT id, n FROM t")) == [(None, 7), (1, 5), (2, 6)]
+    assert rows(db.execute("SELECT n FROM t ORDER BY n OFFSET 1")) == [(6,), (7,)]
+    assert rows(db.execute("SELECT n FROM t ORDER BY n LIMIT 0")) == []
+    for bad in ("OFFSET -1", "LIMIT -1", "LIMIT NULL", "LIMIT 1 OFFSET 'x'"):
+        with pytest.raises(BadValue):
+            db.execute(f"SELECT n FROM t {bad}")
+    for i in range(20):  # so many versions are written on the way
+        db.execute(f"UPDATE t SET n = {i} WHERE id = 1")
+    assert rows(db.execute("SELECT n FROM t WHERE id = 1")) == [(19,)]
+
+
+def test_shared_folder_and_discarded_tables(spark):
+    from pathlib import Path
+
+    df, path = store.cut_at(spark.range(5).toDF("x"), "t")
+    assert df.count() == 5 and spark.sparkContext.applicationId in path
+    store.discard(spark, path)
+    assert not Path(path).exists()
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(EngineError):
+        store.shared_dir(Cluster)
 
 
 def test_merge_stream(spark, tmp_path):
