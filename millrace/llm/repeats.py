@@ -304,49 +304,63 @@ def _runs(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def _with_text(shared):
-    """mapInArrow from (doc_id, text): identity and size of each text, its own bytes
-    where its hash is flagged, else the digest of all of it."""
+def _named(shared):
+    """mapInArrow from (doc_id, text): identity, size and digest of each text, and
+    whether its hash is flagged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
         for b in batches:
-            t1, t2, size, data, sha = [], [], [], [], []
+            t1, t2, size, sha = [], [], [], []
             for t in b.column(1):
                 x = t.as_py()
                 u, v = _text_id(x)
-                flag = bool(in_bitmap(bitmap, np.array([v]).astype(np.int64).view(np.uint64))[0])
-                t1.append(u), t2.append(v), size.append(len(x)), data.append(x if flag else None), sha.append(hashlib.sha256(x).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(size, pa.int64()), pa.array(data, pa.binary()), pa.array(sha, pa.string())], names=["doc_id", "t1", "t2", "n_bytes", "text", "sha"])
+                t1.append(u), t2.append(v), size.append(len(x)), sha.append(hashlib.sha256(x).hexdigest())
+            flag = in_bitmap(shared.value, np.array(t2, np.int64).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(flag, pa.bool_())], names=["doc_id", "t1", "t2", "n_bytes", "sha", "flag"])
+
+    return run
+
+
+def _flagged_texts(shared):
+    """mapInArrow from (doc_id, text): each text whose hash is flagged, once for a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for b in batches:
+            t1, t2, data = [], [], []
+            for t in b.column(1):
+                x = t.as_py()
+                key = _text_id(x)
+                if key not in seen and in_bitmap(shared.value, np.array(key[1:], np.int64).view(np.uint64))[0]:
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(key), t1.append(key[0]), t2.append(key[1]), data.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(data, pa.binary())], names=["t1", "t2", "text"])
 
     return run
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_KEPT = "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _removed(with_text: bool):
+    """mapInArrow from (t1, t2, text, spans): what is left of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = hashlib.sha256(b"").hexdigest()
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for size, text, sha, spans in zip(b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist()):
+            for text, spans in zip(b.column(2), b.column(3).to_pylist()):
                 runs = _runs([(s["lo"], s["hi"]) for s in spans or ()])
-                gone = sum(hi - lo for lo, hi in runs)
-                kept = None
-                if gone and gone == size:
-                    sha, kept = empty, b""
-                elif gone:
-                    data, at, parts = text.as_py(), 0, []
-                    for lo, hi in runs:
-                        parts.append(data[at:lo])
-                        at = hi
-                    kept = b"".join([*parts, data[at:]])
-                    sha = hashlib.sha256(kept).hexdigest()
-                for c, v in zip(out, (gone, len(runs), sha, kept)):
+                data, at, parts = text.as_py(), 0, []
+                for lo, hi in runs:
+                    parts.append(data[at:lo])
+                    at = hi
+                kept = b"".join([*parts, data[at:]])
+                for c, v in zip(out, (sum(hi - lo for lo, hi in runs), len(runs), hashlib.sha256(kept).hexdigest(), kept if runs else None)):
                     c.append(v)
             cols = [b.column(0), b.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out[3], pa.binary())] if with_text else cols, names=[*(x.split()[0] for x in RESULT.split(", ")), *["kept"] * with_text])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(out[3], pa.binary())] if with_text else cols, names=[*(x.split()[0] for x in _KEPT.split(", ")), *["kept"] * with_text])
 
     return run
 
@@ -378,8 +392,8 @@ def repeated_spans(texts: DataFrame, length: int = 200, gram: int = 64, batch: i
     mixed = occ.where("multi").select("gram", "ctx", "t1", "t2", "first", "last")
     counts = cut(mixed.groupBy("gram", "ctx").agg(F.count("*").alias("n")), "repeats-contexts")
     # Either way is exact, so a gram that only shares its bit with a hot one may go that way.
-    hot = bitmap_of(counts.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > batch), "gram")
-    flagged = spark.sparkContext.broadcast(bitmap_of(grams.where("multi"), "gram") & ~hot)
+    hot = bitmap_of(counts.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > batch), "gram", 26)
+    flagged = spark.sparkContext.broadcast(bitmap_of(grams.where("multi"), "gram", 26) & ~hot)
     contexts = texts.mapInArrow(_flagged_contexts(length, gram, flagged), "gram long, ctx long, lo int, hi int, left binary, right binary")
     shared = contexts.repartition("gram").sortWithinPartitions("gram", "ctx").mapInArrow(_shared(length, gram, batch), _SHARED)
     if hot.any():
@@ -396,13 +410,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with ``with_text`` kept (the remaining bytes, null where all remain).
 
     Null text: as empty. Texts under ``length`` bytes keep all. Null id: kept as
-    null. Repeated rows: each other's repeats, so longer ones lose all. Empty table:
-    no rows. Other columns are not read."""
+    null. Repeated rows: each other's repeats, so longer ones lose all. Very long texts:
+    anchors are found a megabyte at a time. Empty table: no rows. Other columns are not
+    read."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
     spans = cut(repeated_spans(rows.select("text"), length, gram, batch), "repeats-spans")
-    # Texts that a removal leaves something of are needed once more; the others are not moved.
+    # Only texts with repeats move, each once for a task, however many rows have it; rows
+    # move as names, those of a very common text dealt over many tasks.
     flags = spark.sparkContext.broadcast(bitmap_of(spans, "t2"))
-    each = rows.mapInArrow(_with_text(flags), "doc_id long, t1 long, t2 long, n_bytes long, text binary, sha string")
-    joined = each.join(spans, ["t1", "t2"], "left").select("doc_id", "n_bytes", "text", "sha", "spans")
-    return joined.mapInArrow(_removed(with_text), RESULT + (", kept binary" if with_text else ""))
+    each = cut(rows.mapInArrow(_named(flags), "doc_id long, t1 long, t2 long, n_bytes long, sha string, flag boolean"), "repeats-rows")
+    texts = rows.mapInArrow(_flagged_texts(flags), "t1 long, t2 long, text binary").join(spans, ["t1", "t2"], "left").select("t1", "t2", "text", "spans")
+    extra = ["kept"] * with_text
+    found = cut(texts.mapInArrow(_removed(with_text), _KEPT + (", kept binary" if with_text else "")).dropDuplicates(["t1", "t2"]), "repeats-kept")
+    none = each.where("not flag").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), *(F.lit(None).cast("binary").alias(x) for x in extra))
+    some = each.where("flag")
+    counts = cut(some.groupBy("t1", "t2").agg(F.count("*").alias("n")), "repeats-texts")
+    done = spread_join(some.select("doc_id", "n_bytes", "t1", "t2"), found, ["t1", "t2"], counts, some.count())
+    return none.union(done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *extra))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
@@ -38,9 +40,12 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], counts: DataF
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
-def bitmap_of(df: DataFrame, column: str, bits: int = 26) -> np.ndarray:
+def bitmap_of(df: DataFrame, column: str, bits: int | None = None) -> np.ndarray:
     """A bitmap of 2**bits bits of the hashes in a long column, gathered as at most
-    2**(bits - 6) words, whatever the number of rows."""
+    2**(bits - 6) words: 32 bits a row, between 8 and 64 megabytes whatever the number of
+    rows. A fuller bitmap lets more through, which an exact join then leaves out."""
+    if bits is None:
+        bits = min(max(math.ceil(math.log2(32 * max(df.count(), 1))), 26), 29)
     low = df.select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias("low"))
     words = low.selectExpr("low >> 6 as i", "shiftleft(1L, cast(low & 63 as int)) as b").groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
