@@ -40,7 +40,8 @@ def bm25(df: DataFrame, query: str, text: str = "text", candidates: DataFrame |
         return spark.createDataFrame([], "eid bigint, score double")
     terms = list(dict.fromkeys(parts))
     counted = lambda t: F.struct(F.size(t).alias("dl"), *((F.size(t) - F.size(F.array_remove(t, w))).alias(f"tf{i}") for i, w in enumerate(terms)))
-    rows = cut(df.select("eid", once(tokens(F.col(text)), counted).alias("c")).select("eid", "c.*").where("dl > 0"), "bm25")
+    # Written as one column: a filter on its parts would split the text again.
+    rows = cut(df.select("eid", once(tokens(F.col(text)), counted).alias("c")), "bm25").select("eid", "c.*").where("dl > 0")
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *(F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms)))).first()
     norm = k1 * (1 - b + b * F.col("dl") / max(stats["avg"] or 0.0, 1.0))
     score = F.lit(0.0)
