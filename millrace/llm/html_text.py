@@ -96,13 +96,15 @@ class Tags:
 
 def blocks(page: str) -> tuple[list[tuple[str, bool]], bool]:
     """(block text, whether it is furniture or outside the main part) in page order,
-    and whether the page marks a main part (article or main). Tags are read leniently:
-    an end tag closes the nearest open element of its name, others are ignored."""
-    out: list[tuple[str, bool]] = []
+    and whether the page marks a main part: an article or main element outside of
+    furniture, not such a name in a script, comment or longer name. Tags are read
+    leniently: an end tag closes the nearest open element of its name, others are
+    ignored."""
+    out: list[tuple[str, bool, bool]] = []  # text, furniture, main
     open_: list[tuple[str, bool, bool]] = []  # name, furniture from here on, main from here on
     depth: dict[str, int] = {}  # how many of a name are open
     part: list[str] = []
-    marked = any(t in page for t in ("<article", "<main", "<ARTICLE", "<MAIN"))
+    marked = False
 
     def flush() -> None:
         if part:
@@ -110,7 +112,7 @@ def blocks(page: str) -> tuple[list[tuple[str, bool]], bool]:
             part.clear()
             if words:
                 drop, main = (open_[-1][1], open_[-1][2]) if open_ else (False, False)
-                out.append((" ".join(words), drop or marked and not main))
+                out.append((" ".join(words), drop, main))
 
     at, n, tags = 0, len(page), Tags(page)
     while at < n:
@@ -146,6 +148,7 @@ def blocks(page: str) -> tuple[list[tuple[str, bool]], bool]:
                 if furniture and not drop:
                     flush()
                 open_.append((tag, drop or furniture, main or tag in MAIN))
+                marked = marked or tag in MAIN and not (drop or furniture)
                 depth[tag] = depth.get(tag, 0) + 1
         elif depth.get(tag):
             if open_[-1][1]:
@@ -156,7 +159,7 @@ def blocks(page: str) -> tuple[list[tuple[str, bool]], bool]:
                 if name == tag:
                     break
     flush()
-    return out, marked
+    return [(t, drop or marked and not main) for t, drop, main in out], marked
 
 
 def ranks(seq: np.ndarray, most: int = 1 << 12) -> list[np.ndarray]:

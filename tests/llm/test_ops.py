@@ -307,6 +307,9 @@ def test_html():
     loose = [f"<body><p>unique text number {w} is here</p>{foot}" for w in ("one", "two")]
     assert html_text.host_texts(loose) == ["unique text number one is here", "unique text number two is here"]
     assert html_text.host_texts([""]) == [""]
+    for named in ("<script>var x = '<article>'</script><p>body</p>", "<!-- <main> --><p>body</p>", "<main-view><p>body</p></main-view>", "<aside><article>teaser</article></aside><p>body</p>"):
+        assert html_text.host_texts([named]) == ["body"], named  # none of these marks a main part
+    assert html_text.host_texts(["<p>out</p><Article><p>in</p></Article>"]) == ["in"]
     t = time.time()
     for odd in ("<a '", '<a "b', "<!--", "<p a=\">", "<div>", "</section>", "<", "</", "<script>"):
         html_text.blocks(odd * 60_000)
