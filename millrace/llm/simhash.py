@@ -140,7 +140,9 @@ class _Cells:
     whose pairs other tasks compare. Memory: one batch and one block.
 
     Rows are (mask, cell, words of the fingerprint), the point being its only word, or
-    with a ``ratio`` (mask, cell, point, size of its set, words)."""
+    with a ``ratio`` (mask, cell, point, size of its set, words). With a ratio, links are
+    yet to be verified, and a forest may have chosen links that fail: its cells are told
+    (a: the mask, b: the cell, k: -1), for ``_OpenCells``."""
 
     SCHEMA = "a long, b long, cell binary, k int, block binary"
 
@@ -180,20 +182,23 @@ class _Cells:
         cell_of = np.repeat(np.arange(len(start)), length)
         crowded = np.bincount(cell_of[i], minlength=len(start)) > 4 * length
         keep = ~crowded[cell_of[i]]
-        yield name[i[keep]], name[j[keep]]
-        for c in np.flatnonzero(crowded | (length > self.small)).tolist():
+        yield self._links(name[i[keep]], name[j[keep]])
+        dense = np.flatnonzero(crowded | (length > self.small))
+        for c in dense.tolist():
             part = slice(start[c], start[c] + length[c])
             x, y = self._forest(fp[part], None if size is None else size[part])
-            yield name[part][x], name[part][y]
+            yield self._links(name[part][x], name[part][y])
+        if size is not None and len(dense):
+            yield self._links(*key[start[dense]].T, -1)
 
     @staticmethod
-    def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    def _links(a: np.ndarray, b: np.ndarray, k: int | None = None) -> pa.RecordBatch:
         n = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["a", "b", "cell", "k", "block"])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(n, pa.binary()), pa.array([k] * n, pa.int32()), pa.nulls(n, pa.binary())], names=["a", "b", "cell", "k", "block"])
 
     @staticmethod
     def _block(key: np.ndarray, k: int, data: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([key.tobytes()], pa.binary()), pa.array([k], pa.int32()), pa.array([np.ascontiguousarray(data).tobytes()], pa.binary())], names=["a", "b", "cell", "k", "block"])
+        return pa.RecordBatch.from_arrays([pa.array(key[:1]), pa.array(key[1:]), pa.array([key.tobytes()], pa.binary()), pa.array([k], pa.int32()), pa.array([np.ascontiguousarray(data).tobytes()], pa.binary())], names=["a", "b", "cell", "k", "block"])
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, data, hot, k = None, None, None, 0
@@ -212,8 +217,7 @@ class _Cells:
             other = np.flatnonzero((key != key[-1]).any(1))
             last = int(other[-1]) + 1 if len(other) else 0
             if last:
-                for x, y in self._whole(key[:last], np.ascontiguousarray(data[:last])):
-                    yield self._links(x, y)
+                yield from self._whole(key[:last], np.ascontiguousarray(data[:last]))
                 key, data = key[last:], data[last:]
             while len(key) > self.block:
                 if hot is None:
@@ -224,8 +228,7 @@ class _Cells:
             if hot is not None:
                 yield self._block(hot, k, data)
             else:
-                for x, y in self._whole(key, np.ascontiguousarray(data)):
-                    yield self._links(x, y)
+                yield from self._whole(key, np.ascontiguousarray(data))
 
     def pair(self, words: int):
         """mapInArrow over two blocks of one cell each row: the links among them."""
@@ -233,16 +236,72 @@ class _Cells:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for blocks in b.column(0).to_pylist():
-                    name, fp, size = self._points(np.frombuffer(b"".join(blocks), np.int64).reshape(-1, words))
-                    x, y = self._forest(fp, size)
-                    yield pa.RecordBatch.from_arrays([pa.array(name[x]), pa.array(name[y])], names=["a", "b"])
+                    for x, y in self._met(np.frombuffer(b"".join(blocks), np.int64).reshape(-1, words)):
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
         return run
 
+    def _met(self, data: np.ndarray):
+        """Links among the points of two blocks."""
+        name, fp, size = self._points(data)
+        x, y = self._forest(fp, size)
+        yield name[x], name[y]
+
+
+class _OpenCells(_Cells):
+    """Cells once more, for links that a forest left out: rows (mask, cell, point, size
+    of its set, its component so far, words of the fingerprint, words of the sketch). Each
+    point is tied to the ``most`` nearest points of other components whose sketch allows
+    the similarity ``ratio`` (None: to all); cells where some had more are told."""
+
+    def __init__(self, distance: int, block: int, ratio: float, most: int | None):
+        super().__init__(distance, 0, block, ratio)
+        self.most = most
+
+    def _open(self, data: np.ndarray):
+        """(a, b, whether there are more) for points with links, some at a time."""
+        name, size, label = data[:, 0], data[:, 1], data[:, 2]
+        words = np.ascontiguousarray(data[:, 3:]).view(np.uint64)
+        fp, sketch = words[:, :WORDS], words[:, WORDS:]
+        a, b, held = [], [], 0
+        for i in range(len(name)):
+            j = np.flatnonzero((label != label[i]) & (_hamming(fp, fp[i]) <= self.distance))
+            j = j[np.minimum(size[j], size[i]) >= self.ratio * np.maximum(size[j], size[i])]
+            if not len(j):
+                continue
+            both = size[j] + size[i]
+            apart = _hamming(sketch[j], sketch[i])
+            ok = apart <= both * (1 - self.ratio) / (1 + self.ratio) + 1e-6
+            j, apart = j[ok], apart[ok] / both[ok]
+            more = self.most is not None and len(j) > self.most
+            if more:
+                j = j[np.argpartition(apart, self.most)[: self.most]]
+            a.append(np.full(len(j), name[i])), b.append(name[j])
+            held += len(j)
+            if more or held > 100_000:
+                yield np.concatenate(a), np.concatenate(b), more
+                a, b, held = [], [], 0
+        if a:
+            yield np.concatenate(a), np.concatenate(b), False
 
-def _compared(cells: DataFrame, find: _Cells) -> DataFrame:
-    """(a, b) from rows of cells, each pair once. Two blocks of a dense cell meet in a
-    task of their own, each block dealt once for every other block of its cell."""
+    def _whole(self, key: np.ndarray, data: np.ndarray):
+        start = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(key)]))
+        for c, d in zip(start[:-1].tolist(), start[1:].tolist()):
+            some = False
+            for x, y, more in self._open(data[c:d]):
+                some |= more
+                yield self._links(x, y)
+            if some:
+                yield self._links(*key[c : c + 1].T, -1)
+
+    def _met(self, data: np.ndarray):
+        return ((x, y) for x, y, _ in self._open(data))
+
+
+def _compared(cells: DataFrame, find: _Cells) -> tuple[DataFrame, DataFrame]:
+    """(a, b) from rows of cells, each pair once, and the cells (mask, cell) that may have
+    other links. Two blocks of a dense cell meet in a task of their own, each block dealt
+    once for every other block of its cell."""
     words = len(cells.columns) - 2
     dealt = cells.repartition("mask", "cell").sortWithinPartitions("mask", "cell", cells.columns[2])
     found = cut(dealt.mapInArrow(find, _Cells.SCHEMA), "simhash-cells")
@@ -251,8 +310,9 @@ def _compared(cells: DataFrame, find: _Cells) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o")
     met = blocks.join(number, "cell").select("cell", "k", "block", other).where("o <> k").groupBy("cell", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j")).agg(F.collect_list("block").alias("blocks"))
     more = met.select("blocks").mapInArrow(find.pair(words), "a long, b long")
-    both = found.where("block is null").select("a", "b").union(more)
-    return both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = found.where("k is null").select("a", "b").union(more)
+    links = both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return links, found.where("k is not null").select(F.col("a").alias("mask").cast("int"), F.col("b").alias("cell")).distinct()
 
 
 def bands_for(points: int) -> int:
@@ -273,7 +333,7 @@ def links(fps: DataFrame, distance: int = 4, bands: int = 7, small: int = 24, bl
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     at = F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), popcounts(F.col("fp")).bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(signed))))
     cells = fps.select("fp", at.alias("x")).select("x.mask", "x.cell", "fp")
-    return _compared(cells, _Cells(distance, small, block))
+    return _compared(cells, _Cells(distance, small, block))[0]
 
 
 def _classes(rows: DataFrame, groups: DataFrame, found: DataFrame, key: str) -> DataFrame:
@@ -304,6 +364,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # -- documents of similar shingle sets ------------------------------------------------
 WORDS = 2
+SKETCH = 16
+#: So many links a point are tried in the first rounds over cells that a forest left open.
+MOST = (8, 128)
 
 
 def shingle_set(text: bytes, shingle: int = 5, with_bits: bool = True) -> tuple[int, np.ndarray, np.ndarray]:
@@ -346,6 +409,22 @@ def _sets(docs: DataFrame, shingle: int, shared) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set"))
 
 
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(node, s0, s1, ...): for each of 1,024 classes of hashes whether the set has an odd
+    number of them. Two sketches differ in no more bits than their sets do in elements."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            odd = np.zeros((b.num_rows, 64 * SKETCH), np.uint8)
+            for i, own in enumerate(b.column(1)):
+                odd[i] = np.bincount(own.values.to_numpy() & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+            bits = np.packbits(odd, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(bits[:, i].copy()) for i in range(SKETCH))], names=["node", *names])
+
+    names = [f"s{i}" for i in range(SKETCH)]
+    return sets.select("node", "set").mapInArrow(run, ", ".join(["node long", *(f"{n} long" for n in names)]))
+
+
 def grid_for(points: int, similarity: float, recall: float, full: float = 12.0) -> tuple[int, int, int]:
     """(segments a mask, masks, distance) for shingle sets of ``similarity``.
 
@@ -368,7 +447,11 @@ def similar_sets(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: fl
     The same grid with masks drawn at random over the segments of 128 bits; what the
     cells leave is verified on the shingle sets themselves, which are made again from
     the texts for candidates only. Exact against false links; ``recall`` is the share
-    of pairs at the threshold that a mask is to bring together."""
+    of pairs at the threshold that a mask is to bring together.
+
+    A crowded cell gives a forest first. Where links of it fail, points of the cell that
+    are not connected yet are tried with those of other components, the likeliest first
+    and at last all of them, so that no pair of a cell is left out for a worse one."""
     kept, masks, distance = grid_for(nodes.count(), similarity, recall)
     rng = random.Random(5)
     drawn = []
@@ -379,9 +462,27 @@ def similar_sets(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: fl
     grid = F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), F.lit(x).alias("m0"), F.lit(y).alias("m1")) for i, x, y in drawn))).alias("g")
     counted = nodes.where("size > 0").select("node", "size", "f0", "f1", popcounts(F.col("f0")).alias("p0"), popcounts(F.col("f1")).alias("p1"), grid)
     cells = counted.select(F.col("g.mask").alias("mask"), F.xxhash64(F.col("p0").bitwiseAND(F.col("g.m0")), F.col("p1").bitwiseAND(F.col("g.m1"))).alias("cell"), "node", "size", "f0", "f1")
-    pairs = cut(_compared(cells, _Cells(distance, small, block, similarity)), "similar-pairs")
+    first, dense = _compared(cells, _Cells(distance, small, block, similarity))
+    pairs = cut(first, "similar-pairs")
     ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n")), "similar-ends")
     sets = cut(_sets(docs, shingle, spark.sparkContext.broadcast(bitmap_of(ends, "node"))).join(ends.select("node"), "node", "left_semi"), "similar-sets")
+    links = cut(_verified(pairs, sets, similarity), "similar-links")
+    for most in (*MOST, None):
+        dense = cut(dense, "similar-dense")
+        if dense.isEmpty():
+            break
+        # A point that a forest tied to none has no candidate; the others have sets.
+        named = ends.select("node").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("label"))
+        again = cut(cells.join(dense, ["mask", "cell"]).join(named, "node"), "similar-again")
+        parted = again.groupBy("mask", "cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("mask", "cell")
+        rows = again.join(parted, ["mask", "cell"]).join(_sketches(sets.join(again.select("node").distinct(), "node", "left_semi")), "node")
+        more, dense = _compared(rows.select("mask", "cell", "node", "size", "label", "f0", "f1", *(f"s{i}" for i in range(SKETCH))), _OpenCells(distance, block, similarity, most))
+        links = links.union(cut(_verified(cut(more, "similar-pairs"), sets, similarity), "similar-links"))
+    return links
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b; written) whose sets are of ``similarity`` or more."""
     total = pairs.count()
     left = spread_join(pairs, sets.select(F.col("node").alias("a"), F.col("set").alias("x")), ["a"], pairs.groupBy("a").agg(F.count("*").alias("n")), total)
     left = cut(left, "similar-left")

@@ -626,3 +626,32 @@ def test_html_of_large_hosts_is_that_of_whole_hosts(spark):
     off = {(str(r.page_id), r.text) for r in html_text.extract(df, least=10**6).collect()}
     assert len(off - {(p, t) for p, _, t in want}) > 30  # without the search for repeats, most pages keep more
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_similar_documents_of_crowded_cells_keep_all_links(spark):
+    """Near copies about the threshold: the nearest fingerprint is often not similar enough."""
+    rng = random.Random(1)
+    texts = []
+    for _ in range(3):
+        w = [f"w{rng.randrange(5000)}" for _ in range(160)]
+        for _ in range(60):
+            out = list(w)
+            for i in rng.sample(range(160), rng.choice([2, 3])):
+                out[i] = f"z{rng.randrange(10**6)}"
+            texts.append(" ".join(out))
+    want = similar_classes(list(enumerate(texts)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for block in (8192, 32):
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(df, recall=0.9999, block=block).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_open_cells_give_the_likeliest_links_and_then_all():
+    sets = [np.arange(10 * i, 10 * i + 400) for i in range(6)]
+    sketch = [np.packbits(np.bincount(s % 1024, minlength=1024).astype(np.uint8) & 1).view(np.int64) for s in sets]
+    data = np.stack([np.concatenate(([i, len(s), i // 2, 0, 0], k)) for i, (s, k) in enumerate(zip(sets, sketch))])
+    key = np.zeros((6, 2), np.int64)
+    near = lambda most: [(r["a"], r["b"]) for b in simhash._OpenCells(32, 8192, 0.8, most)._whole(key, data) for r in b.to_pylist() if r["k"] is None]
+    told = lambda most: sum(r["k"] == -1 for b in simhash._OpenCells(32, 8192, 0.8, most)._whole(key, data) for r in b.to_pylist())
+    assert near(None) == [(i, j) for i in range(6) for j in range(6) if i // 2 != j // 2 and abs(i - j) <= 4] and not told(None)
+    assert told(1) == 1 and sorted(near(1))[1:3] == [(1, 2), (2, 1)]
