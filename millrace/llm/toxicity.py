@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +12,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import cut
+
 #: At most so many labelled documents are used for the fit, so many megabytes of their
 #: hashed terms, and so many terms.
 FIT_ROWS = 12_000
@@ -73,23 +75,29 @@ class FactorizationMachine:
         return at[self.terms[at] == h]
 
 
-def fit(samples: list[tuple[int, np.ndarray]], factors: int = 4, epochs: int = 12, least_docs: int = 3, step: float = 0.1, decay: float = 2e-4, pair_decay: float = 2e-3, sure_z: float = 3.5, inertia: float = 300.0, seed: int = 7, max_terms: int = FIT_TERMS) -> FactorizationMachine:
+def fit(samples: Iterable[tuple[int, np.ndarray]], factors: int = 4, epochs: int = 12, least_docs: int = 3, step: float = 0.1, decay: float = 2e-4, pair_decay: float = 2e-3, sure_z: float = 3.5, inertia: float = 300.0, seed: int = 7, max_terms: int = FIT_TERMS) -> FactorizationMachine:
     """Fit by AdaGrad on (label, sorted term hashes), in the order of the hashes'
     digest, so that a fit does not depend on the order rows came in. Terms of under
     ``least_docs`` samples are left out, beyond ``max_terms`` the rarest. No
     term goes for its own share among toxic samples, as it can matter beside another
     only; one whose share is not ``sure_z`` standard errors from that among the others
     learns slowly (AdaGrad starts at ``inertia``), so that rare terms are not learnt by
-    heart."""
-    samples = sorted(samples, key=lambda s: (zlib.crc32(s[1].tobytes()), len(s[1]), s[0]))
+    heart. Memory: the samples as 32-bit numbers, and as much again twice."""
+    samples = [(y, t.astype(np.int32, copy=False)) for y, t in samples]
+    samples.sort(key=lambda s: (zlib.crc32(s[1].astype(np.int64).tobytes()), len(s[1]), s[0]))
     if not samples or len({y for y, _ in samples}) < 2:
         p = float(np.mean([y for y, _ in samples])) if samples else 0.0
         return FactorizationMachine(np.zeros(0, np.int64), 30.0 if p else -30.0, np.zeros(0), np.zeros((0, factors)))
-    terms, n = np.unique(np.concatenate([t for _, t in samples]), return_counts=True)
-    toxic = [t for y, t in samples if y]
-    in_toxic = np.zeros(len(terms))
-    np.add.at(in_toxic, np.searchsorted(terms, np.concatenate(toxic)), 1)
-    total, ones = len(samples), len(toxic)
+    every = np.concatenate([t for _, t in samples])
+    every.sort()
+    at = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
+    terms, n = every[at].astype(np.int64), np.diff(np.concatenate((at, [len(every)])))
+    del every, at
+    in_toxic, total, ones = np.zeros(len(terms)), len(samples), 0
+    for y, t in samples:
+        if y:
+            ones += 1
+            in_toxic[np.searchsorted(terms, t)] += 1
     rate = n / total
     spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / ones + 1 / (total - ones)))
     z = (in_toxic / ones - (n - in_toxic) / (total - ones)) / spread
@@ -101,7 +109,11 @@ def fit(samples: list[tuple[int, np.ndarray]], factors: int = 4, epochs: int = 1
     w, v = np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), factors))
     gw, gv, w0, g0 = slow.copy(), np.repeat(slow[:, None], factors, 1), 0.0, 1e-3
     fm = FactorizationMachine(terms, 0.0, w, v)
-    data = [(y, fm.rows(t)) for y, t in samples]
+    data = []
+    samples.reverse()
+    while samples:  # a sample goes when its rows are there
+        y, t = samples.pop()
+        data.append((y, fm.rows(t).astype(np.int32)))
     for _ in range(epochs):
         for at in rng.permutation(len(data)):
             y, i = data[at]
@@ -143,21 +155,23 @@ def held_out(doc_id: F.Column) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, megabytes: int = FIT_MB) -> FactorizationMachine:
     """Fit on up to ``rows`` labelled documents by hash order, none of them held out,
     as far as their terms go into ``megabytes``. The sample is bounded, so its ids are
-    broadcast and its terms collected; an unlabelled document is only read. Nulls among
+    broadcast and its terms collected, a written part at a time, as a driver has little
+    room for rows; an unlabelled document is only read. Nulls among
     labels are left out; a document labelled more than once is toxic if any label says
     so; of rows with one id the least text counts."""
     own = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("_id"), "label")
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce("text", F.lit("")).alias("text"))
     picked = texts.join(F.broadcast(own), F.col("_doc") == F.col("_id")).groupBy("_id", "label").agg(F.min("text").alias("text"))
-    found = _terms(picked.withColumnRenamed("_id", "id"))
-    samples, left = [], megabytes << 20
-    for r in found.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").toLocalIterator():
-        left -= len(r.terms)
+    found = cut(_terms(picked.withColumnRenamed("_id", "id")), "toxicity-terms").withColumn("h", F.xxhash64("id"))
+    left, last = megabytes << 20, None
+    for h, i, n in sorted(zip(*(c.to_pylist() for c in found.select("h", "id", F.length("terms")).toArrow().columns))):
+        left -= n
         if left < 0:
+            found = found.where(F.struct("h", "id") <= F.struct(F.lit(last[0]), F.lit(last[1]))) if last else found.limit(0)
             break
-        samples.append((int(r.label > 0), np.frombuffer(r.terms, np.int32).astype(np.int64)))
-    return fit(samples)
+        last = h, i
+    return fit((int(r.label > 0), np.frombuffer(r.terms, np.int32)) for r in found.select("label", "terms").toLocalIterator())
 
 
 def scorer(docs: DataFrame, fm: FactorizationMachine):

@@ -655,3 +655,16 @@ def test_open_cells_give_the_likeliest_links_and_then_all():
     told = lambda most: sum(r["k"] == -1 for b in simhash._OpenCells(32, 8192, 0.8, most)._whole(key, data) for r in b.to_pylist())
     assert near(None) == [(i, j) for i in range(6) for j in range(6) if i // 2 != j // 2 and abs(i - j) <= 4] and not told(None)
     assert told(1) == 1 and sorted(near(1))[1:3] == [(1, 2), (2, 1)]
+
+
+def test_toxicity_fit_holds_samples_once():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    some = [np.unique(rng.integers(0, 60_000, 3000)).astype(np.int32) for _ in range(300)]
+    own = sum(t.nbytes for t in some)
+    tracemalloc.start()
+    fm = toxicity.fit(((i % 2, t.copy()) for i, t in enumerate(some)), epochs=0)
+    peak = tracemalloc.get_traced_memory()[1] / own
+    tracemalloc.stop()
+    assert len(fm.terms) > 50_000 and peak < 5, peak
