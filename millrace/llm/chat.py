@@ -34,9 +34,26 @@ def unescape(s: str) -> str:
     return re.sub(r"\\(.)", r"\1", s, flags=re.S)
 
 
+#: Turns that were shown last, emptied beyond so many characters, as prefixes repeat them.
+SHOWN_CHARS = 8_000_000
+_shown: dict[Message, str] = {}
+_shown_chars = 0
+
+
+def _show(message: Message) -> str:
+    global _shown_chars
+    role, text = message
+    if _shown_chars > SHOWN_CHARS:
+        _shown.clear()
+        _shown_chars = 0
+    out = _shown[message] = f"### {ROLES.get(role) or '=' + escape(role).replace(':', chr(92) + ':')}: {escape(text)}</turn>\n"
+    _shown_chars += len(role) + len(text) + len(out)
+    return out
+
+
 def marker_template(messages: list[Message]) -> str:
     """Turns one after another, none of which depends on another (``looks_back=0``)."""
-    return "".join(f"### {ROLES.get(role) or '=' + escape(role).replace(':', chr(92) + ':')}: {escape(text)}</turn>\n" for role, text in messages)
+    return "".join([_shown.get(m) or _show(m) for m in messages])
 
 
 def read_turn(span: str) -> Message:

@@ -668,3 +668,26 @@ def test_toxicity_fit_holds_samples_once():
     peak = tracemalloc.get_traced_memory()[1] / own
     tracemalloc.stop()
     assert len(fm.terms) > 50_000 and peak < 5, peak
+
+
+def test_op8_renders_whole_prefixes(spark, tmp_path, monkeypatch):
+    """The query's own call finds a template that changes earlier output at one turn alone."""
+    from millrace.llm import queries
+
+    turns = [(7, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(40)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert {r.conv_id: r.n_turns for r in queries.op8_chat(spark, str(tmp_path)).collect()} == {7: 40, -7: 2}
+    plain, real = chat.marker_template, chat.format_turns
+
+    def once(m):
+        return plain([("system", "cut"), *m[1:]] if len(m) == 18 else m)
+
+    monkeypatch.setattr(chat, "format_turns", lambda rows, **kw: real(rows, once, **kw))
+    with pytest.raises(Exception, match="turn 18 changes"):
+        queries.op8_chat(spark, str(tmp_path)).collect()
+
+
+def test_marker_template_forgets_shown_turns(monkeypatch):
+    monkeypatch.setattr(chat, "SHOWN_CHARS", 50)
+    turns = [("user", f"a#{i % 7}") for i in range(60)]
+    assert chat.marker_template(turns) == "".join(f"### User: {chat.escape(t)}</turn>\n" for _, t in turns) and len(chat._shown) < 7
