@@ -9,6 +9,7 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import distance, fnv1a_64, once, tokens
@@ -145,6 +146,8 @@ def chunk(df: DataFrame, most: int, overlap: int = 0, text: str = "text", separa
 
 #: A worker's table of token vectors is emptied beyond so many numbers.
 KNOWN_NUMBERS = 4_000_000
+#: So many texts, or as many as have so many characters, are embedded at a time.
+EMBED_TEXTS, EMBED_CHARS = 1000, 500_000
 
 
 def token_vectors(words: list[str], dim: int) -> np.ndarray:
@@ -182,16 +185,27 @@ def hash_vector(text: str, dim: int) -> list[float]:
     return hash_vectors([text], dim)[0]
 
 
+def embed_batches(batches: Iterator[pa.RecordBatch], make: Callable[[list[str]], list]) -> Iterator[pa.RecordBatch]:
+    """(eid, embedding) of (eid, text): a batch's texts become Python objects a few at a time."""
+    for b in batches:
+        texts, chars = [], 0
+        for i, t in enumerate(b.column(1), 1):
+            texts.append(t.as_py() or "")
+            chars += len(texts[-1])
+            if len(texts) == EMBED_TEXTS or chars >= EMBED_CHARS or i == b.num_rows:
+                vectors = [None if v is None else np.asarray(v, np.float32) for v in make(texts)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i - len(texts), len(texts)), pa.array(vectors, pa.list_(pa.float32()))], names=["eid", "embedding"])
+                texts, chars = [], 0
+
+
 def embed(df: DataFrame, dim: int, text: str = "text", embedder: Callable[[str], list[float]] | None = None) -> DataFrame:
     """(eid, embedding) by the hash embedder or any function from text to vector."""
-    known: dict[str, np.ndarray] = {}
-    make = (lambda texts: [embedder(t) for t in texts]) if embedder else lambda texts: hash_vectors(texts, dim, known)
 
-    @F.pandas_udf("array<float>")
-    def vectors(texts: pd.Series) -> pd.Series:
-        return pd.Series(make([t or "" for t in texts]), dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}
+        return embed_batches(batches, (lambda texts: [embedder(t) for t in texts]) if embedder else lambda texts: hash_vectors(texts, dim, known))
 
-    return df.select("eid", vectors(text).alias("embedding"))
+    return df.select("eid", F.col(text).alias("text")).mapInArrow(run, f"eid {df.schema['eid'].dataType.simpleString()}, embedding array<float>")
 
 
 def rerank_by_length(found: DataFrame, text: str = "text") -> DataFrame:

@@ -358,3 +358,22 @@ def test_whole_merge_and_seal_digest(spark, tmp_path):
             h = h if x is None else xxhash.xxh64_intdigest(x, h)
         total += h - (1 << 64) if h >> 63 else h
     assert [tuple(r) for r in QUERIES["seal_digest"](spark, str(tmp_path)).collect()] == [(28, str(total))]
+
+
+def test_embed_takes_a_few_texts_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts = [None, "", "x" * 300, *(f"w{i} " * (i % 9) for i in range(40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "eid int, text string").coalesce(1)
+    hook = rag.embed(df, 2, embedder=lambda t: [len(t), 0.5])
+    assert hook.schema.simpleString() == "struct<eid:int,embedding:array<float>>"
+    assert {r.eid: r.embedding for r in hook.collect()} == {i: [len(t or ""), 0.5] for i, t in enumerate(texts)}
+    asked = []
+    monkeypatch.setattr(rag, "EMBED_TEXTS", 5)
+    monkeypatch.setattr(rag, "EMBED_CHARS", 100)
+    make = lambda some: asked.append(some) or rag.hash_vectors(some, 8)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["eid", "text"])
+    out = [r for b in rag.embed_batches(iter([batch, batch.slice(0, 0)]), make) for r in b.to_pylist()]
+    assert all(len(some) <= 5 and sum(map(len, some[:-1])) < 100 for some in asked)
+    assert [r["eid"] for r in out] == list(range(len(texts)))
+    assert [r["embedding"] for r in out] == [r.embedding for r in rag.embed(df, 8).orderBy("eid").collect()]
