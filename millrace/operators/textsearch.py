@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import check_n, grams
+from ..sources.store import cut_at, discard
 from ..types import Unsupported
 
 
@@ -55,10 +56,18 @@ def remove(postings: DataFrame, ids: DataFrame) -> DataFrame:
     return postings.join(ids.select("eid"), "eid", "left_anti").select("gram", "eid")
 
 
+#: A file of an index has about so many postings, which a task can sort in its memory.
+FILE_ROWS = 2_000_000
+
+
 def save(postings: DataFrame, path: str, files: int | None = None) -> None:
-    """Write an index sorted by gram, so that a query's grams prune row groups."""
-    dealt = postings.repartitionByRange(files, "gram") if files else postings.repartitionByRange("gram")
-    dealt.sortWithinPartitions("gram", "eid").write.mode("overwrite").parquet(path)
+    """Write an index sorted by gram, so that a query's grams prune row groups. Postings
+    are written unsorted first, which makes them once and tells how many there are; a
+    gram that very many texts have goes on over several files."""
+    rows, held = cut_at(postings.select("gram", "eid"), "postings")
+    files = files or max(1, -(-rows.count() // FILE_ROWS))
+    rows.repartitionByRange(files, "gram", "eid").sortWithinPartitions("gram", "eid").write.mode("overwrite").parquet(path)
+    discard(postings.sparkSession, held)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

@@ -377,3 +377,14 @@ def test_embed_takes_a_few_texts_at_a_time(spark, monkeypatch):
     assert all(len(some) <= 5 and sum(map(len, some[:-1])) < 100 for some in asked)
     assert [r["eid"] for r in out] == list(range(len(texts)))
     assert [r["embedding"] for r in out] == [r.embedding for r in rag.embed(df, 8).orderBy("eid").collect()]
+
+
+def test_index_files_share_a_very_common_gram(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textsearch, "FILE_ROWS", 500, raising=False)
+    df = spark.createDataFrame([(i, f"th{i % 3}") for i in range(2000)], "eid bigint, text string")
+    path = str(tmp_path / "grams")
+    textsearch.save(textsearch.index(df), path)
+    post = textsearch.load(spark, path)
+    most = post.groupBy(F.input_file_name().alias("f")).count().agg(F.max("count")).first()[0]
+    assert most < 1000 and post.count() == 4000
+    assert textsearch.search(df, "h1", postings=post).count() == 667
