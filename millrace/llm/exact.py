@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import cut, spread_join, utf8
+from .shared import cut, released, spread_join, utf8
 
 #: A value for each byte, from a fixed multiplicative rule; the rolling hash adds these.
 GEAR = ((np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
@@ -53,6 +53,7 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key
     ``key_bits`` make keys clash, for tests."""
     mask = (1 << key_bits) - 1
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, sha, keys, digests = [], [], [], []

@@ -11,6 +11,8 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import released
+
 MARK = "▁"
 _BYTES = re.compile("[\udc00-\udcff]+")
 _loaded: dict[str, PieceCoder] = {}
@@ -47,9 +49,9 @@ class PieceCoder:
     A text falls into units that no merge can cross: a run of marks (spaces) with the
     letters or other characters after it. That no piece crosses a unit's end is
     verified when the model is loaded. Units are coded by the agenda and remembered;
-    the memory is bounded and emptied when full."""
+    the memory is bounded, and emptied when full and at the end of each task."""
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 300_000):
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.remember = remember
         self.pieces: dict[str, int] = {}
@@ -146,6 +148,12 @@ class PieceCoder:
             if ids != (own if m else lead + own):
                 raise AssertionError(f"the agenda and the library differ on {u[:80]!r}")
 
+    def forget(self) -> None:
+        """Empty the memory, as a worker outlives the stage."""
+        self.units.clear()
+        self.units.fresh.clear()
+        self.words.clear()
+
     def coded(self, texts: list[str]) -> list[tuple[str, str]]:
         """For each text its ids, comma-joined, and the text that those ids decode to."""
         if len(self.units) > self.remember:
@@ -191,6 +199,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     Repeated rows: one result each. Empty table: no rows. Other columns are not read. ``model`` is a path on every host."""
     schema = SCHEMA + (", ids array<int>, decoded string" if with_ids else "")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model)
         for b in batches:
@@ -222,5 +231,6 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
                 at = end
+        c.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

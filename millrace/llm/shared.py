@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.store import cut, cut_at, discard, shared_dir
@@ -12,7 +17,7 @@ from ..sources.store import cut, cut_at, discard, shared_dir
 #: ASCII white space of the word definition, as a Java or Python character class body.
 SPACE = r"\x20\x09-\x0D"
 
-__all__ = ["PIECES", "SPACE", "bitmap_of", "components", "cut", "in_bitmap", "shared_dir", "spread_join", "utf8"]
+__all__ = ["PIECES", "SPACE", "bitmap_of", "components", "cut", "in_bitmap", "release", "released", "shared_dir", "spread_join", "utf8"]
 
 
 def utf8(column: str = "text") -> F.Column:
@@ -20,6 +25,39 @@ def utf8(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+#: glibc's; other C libraries have none.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give back to the system what this process holds unused: Arrow's pool and the C
+    heap keep what was freed, some hundred megabytes after a few batches of texts."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function from batches to batches whose worker gives unused memory back, once a
+    second at most and when the task ends: Spark keeps workers for later stages, and all
+    of them count besides the executor's heap."""
+
+    @functools.wraps(run)
+    def tidy(batches: Iterator) -> Iterator:
+        last = time.monotonic()
+        try:
+            for out in run(batches):
+                yield out
+                del out
+                if time.monotonic() - last > 1:
+                    release()
+                    last = time.monotonic()
+        finally:
+            release()
+
+    return tidy
+
+
 #: A key of over one in so many rows is dealt out in pieces of about that share.
 PIECES = 1000
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import bitmap_of, components, cut, in_bitmap, spread_join, utf8
+from .shared import bitmap_of, components, cut, in_bitmap, released, spread_join, utf8
 
 LOW = 0x5555555555555555
 _BITS = np.arange(64, dtype=np.uint64)
@@ -43,6 +43,7 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42, block: int = 1 <<
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
@@ -233,6 +234,7 @@ class _Cells:
     def pair(self, words: int):
         """mapInArrow over two blocks of one cell each row: the links among them."""
 
+        @released
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for blocks in b.column(0).to_pylist():
@@ -304,7 +306,7 @@ def _compared(cells: DataFrame, find: _Cells) -> tuple[DataFrame, DataFrame]:
     once for every other block of its cell."""
     words = len(cells.columns) - 2
     dealt = cells.repartition("mask", "cell").sortWithinPartitions("mask", "cell", cells.columns[2])
-    found = cut(dealt.mapInArrow(find, _Cells.SCHEMA), "simhash-cells")
+    found = cut(dealt.mapInArrow(released(find.__call__), _Cells.SCHEMA), "simhash-cells")
     blocks = found.where("block is not null").select("cell", "k", "block")
     number = blocks.groupBy("cell").agg((F.max("k") + 1).alias("n"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o")
@@ -394,6 +396,7 @@ def shingle_set(text: bytes, shingle: int = 5, with_bits: bool = True) -> tuple[
 def _sets(docs: DataFrame, shingle: int, shared) -> DataFrame:
     """(node, set) of the texts whose set's name is in the bitmap ``shared``, each once."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
@@ -413,6 +416,7 @@ def _sketches(sets: DataFrame) -> DataFrame:
     """(node, s0, s1, ...): for each of 1,024 classes of hashes whether the set has an odd
     number of them. Two sketches differ in no more bits than their sets do in elements."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             odd = np.zeros((b.num_rows, 64 * SKETCH), np.uint8)
@@ -505,6 +509,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"), *(F.col(c).alias(x) for c, x in zip(carry, carried)))
     names = ["doc_id", "node", "size", "f0", "f1", *carried]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             node, size, fps = [], [], []

@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import cut
+from .shared import cut, released
 
 #: At most so many labelled documents are used for the fit, so many megabytes of their
 #: hashed terms, and so many terms.
@@ -138,6 +138,7 @@ def fit(samples: Iterable[tuple[int, np.ndarray]], factors: int = 4, epochs: int
 def _terms(docs: DataFrame) -> DataFrame:
     """(id, label, terms) of (id, label, text); terms are sorted 32-bit numbers."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}
         for b in batches:
@@ -177,7 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, megabytes: i
 def scorer(docs: DataFrame, fm: FactorizationMachine):
     """A pandas UDF from a text to its score; the bounded model is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(fm)
+
     @F.pandas_udf("double")
+    @released
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         fm = shared.value
         row_of = {int(h): i for i, h in enumerate(fm.terms)}

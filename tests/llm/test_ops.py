@@ -10,10 +10,11 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from millrace.llm import chat, exact, gsaca, html_text, mixing, pieces, quality, repeats, secrets, simhash, toxicity
+from millrace.llm import chat, exact, gsaca, html_text, mixing, pieces, quality, repeats, secrets, shared, simhash, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -256,6 +257,35 @@ def test_pieces(spark, docs):
     assert pieces.encode_decode(df.limit(0), path).count() == 0
 
 
+def test_workers_keep_little(spark):
+    """A worker that outlives a stage holds neither its units nor what Arrow freed."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    df = spark.range(0, 4000, 1, 4).selectExpr("id doc_id", "concat_ws(' ', transform(sequence(1, 20), x -> sha2(concat(id, ':', x), 256))) text")
+    assert pieces.encode_decode(df, path).count() == 4000
+
+    def held(batches):
+        for b in batches:
+            c = pieces._loaded.get(path)
+            yield pa.RecordBatch.from_arrays([pa.array([len(c.units) + len(c.words) if c else 0] * b.num_rows, pa.int64())], names=["n"])
+
+    assert spark.range(0, 16, 1, 16).mapInArrow(held, "n long").agg({"n": "max"}).first()[0] == 0
+
+    def own():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(x.split()[1]) for x in f if x.startswith("Pss_Anon")) >> 10
+
+    def many(batches):
+        for b in batches:
+            texts = [pa.array([f"{i}:{k}" * 9 for k in range(1000)]) for i in range(800)]
+            yield b
+            del texts
+
+    before = own()
+    assert list(shared.released(many)([1])) == [1] and own() - before < 50
+
+
 def test_suffix_array_and_repeats(spark, docs):
     rng = random.Random(4)
     for _ in range(300):
